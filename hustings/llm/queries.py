@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import exact_dedup, secret_scan
+from hustings.llm import exact_dedup, packing, secret_scan, token_files
+from hustings.llm.store import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file is; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = scratch(spark, "tokens")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), to, tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, to)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,9 +35,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents"))[0])
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,24 @@ from pyspark.sql import functions as F
 _made: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, from which Python workers import the operators' functions."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    with tempfile.TemporaryDirectory() as d:
+        with zipfile.ZipFile(f"{d}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        # the copy in Spark's own folder is the one that it serves
+        sc.addPyFile(z.filename)
+    _shipped.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for local sessions that name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -67,4 +87,5 @@ atexit.register(release)
 
 def whole_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, null texts as empty: no other column can clash with an operator's own."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
