@@ -11,13 +11,20 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Pieces that a worker keeps.
-KEPT = 300_000
+KEPT = 600_000
 _after_word = re.compile(r"(?<=\S) ")
 _after_space = re.compile(r"\s ")
+#: Marks that end words; letters below U+0250, where composition and case don't change bytes' order (U+0130 apart).
+MARKS = {m: m for m in ".,;:!?"}
+LATIN = re.compile(r"[^\W\d_\u0130\u0250-\U0010FFFF]+")
+#: How byte-level vocabularies write the bytes of characters above ASCII: those without a visible character get the next from U+0100.
+_hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(_hidden)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -35,29 +42,32 @@ class Encoder:
         parts = pre.get("pretokenizers") or [{}]
         worded = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "")
         self.kind = "spaced" if spaced else "worded" if worded else "whole"
+        self.marks = {m: np.array(self.model.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Encode new pieces, many in one text where each is plain: tokens then belong to the piece they start in."""
+        """Encode new pieces: a word with at most one mark after it by the library's model alone, which is what
+        remains of the work for a run of letters; all other pieces by the whole of it."""
         if len(cache) > KEPT:
             cache.clear()
-        new = [p for p in pieces if p not in cache]
-        plain = [p for p in new if p.isascii() and p.isprintable() and p] if self.kind == "worded" or lead else []
-        if len(plain) < len(new):
-            others = [p for p in new if not (p.isascii() and p.isprintable() and p)] if plain else new
+        new, others = pieces.difference(cache), []
+        tokenize, worded, pack = self.model.model.tokenize, self.kind == "worded", array
+        front = "\u0120" if lead else ""
+        for p in new:
+            mark = MARKS.get(p[-1:], "")
+            word = p[:-1] if mark else p
+            if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+                if worded:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+                cache[p] = pack("I", [t.id for t in tokenize(front + word)]).tobytes() + (self.marks[mark] if mark else b"")
+            else:
+                others.append(p)
+        if others:
             for p, e in zip(others, self.model.encode_batch_fast([lead + p for p in others], add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        if plain:
-            # a space before each piece: it is part of the token where the vocabulary keeps spaces
-            lengths = np.fromiter(map(len, plain), np.int64, len(plain)) + 1
-            starts = np.concatenate(([0], np.cumsum(lengths)))
-            e = self.model.encode(" " + " ".join(plain), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            ends = np.fromiter((b for _, b in e.offsets), np.int64, len(e))
-            cut = (4 * np.searchsorted(ends, starts, side="right")).tolist()
-            for p, i, j in zip(plain, cut, cut[1:], strict=False):
-                cache[p] = ids[i:j]
+                cache[p] = pack("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
