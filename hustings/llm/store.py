@@ -7,6 +7,7 @@ re-read and never a recomputation of the whole plan. Folders are removed at inte
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -26,13 +27,13 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as d:
-        with zipfile.ZipFile(f"{d}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        # the copy in Spark's own folder is the one that it serves
-        sc.addPyFile(z.filename)
+    root, d = Path(__file__).resolve().parents[1], tempfile.mkdtemp(prefix="hustings-")
+    with zipfile.ZipFile(f"{d}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    # the driver serves this file as long as it runs
+    sc.addPyFile(z.filename)
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
     _shipped.add(sc.applicationId)
 
 

@@ -31,6 +31,12 @@ def range_edges(docs: DataFrame, shards: int) -> list[float]:
     return sorted(set(docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / shards for i in range(1, shards)], 0.25 / shards)))
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Two bytes an id where all of them fit."""
+    a = np.frombuffer(ids, "<u4")
+    return a.astype("<u2").tobytes() if a.max() < 65536 else ids
+
+
 def _encode(path: str, end_id: int, edges: list[float]):
     bounds = np.array(edges)
 
@@ -38,7 +44,7 @@ def _encode(path: str, end_id: int, edges: list[float]):
         enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for part, _, _ in steps(batches):
             ids = [x + end for x in enc.encode(part["text"].to_pylist())]
-            narrow = [(a := np.frombuffer(x, "<u4")).astype("<u2").tobytes() if len(x) and a.max() < 65536 else x for x in ids]
+            narrow = [_narrow(x) for x in ids]
             doc_ids = part["doc_id"].to_pandas().to_numpy(dtype=float, na_value=-np.inf)
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(np.searchsorted(bounds, doc_ids, side="right"), pa.int32()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(narrow, pa.binary())], ["doc_id", "shard", "n", "ids"])
 
