@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hustings.llm import exact_dedup, packing, secret_scan, token_files
+from hustings.llm import exact_dedup, license_scan, packing, secret_scan, token_files
 from hustings.llm.store import scratch
 
 
@@ -21,6 +21,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = scratch(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), to, tokenizer("word_bpe_49k.json"), end_id=2)
@@ -40,6 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
