@@ -13,12 +13,12 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 #: Pieces that a worker keeps.
-KEPT = 600_000
+KEPT = 400_000
 _after_word = re.compile(r"(?<=\S) ")
 _after_space = re.compile(r"\s ")
+#: Lines with one or two line ends between them, which the byte-level vocabulary takes one by one.
+LINES = re.compile(r"\S+(?:\n{1,2}\S+)+")
 #: Marks that end words; letters below U+0250, where composition and case don't change bytes' order (U+0130 apart).
 MARKS = {m: m for m in ".,;:!?"}
 LATIN = re.compile(r"[^\W\d_\u0130\u0250-\U0010FFFF]+")
@@ -28,6 +28,20 @@ BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(_hidden)}
 _encoders: dict[str, Encoder] = {}
 
 
+class Pieces(dict):
+    """Ids by piece; a piece that is not held is encoded when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > KEPT:
+            self.clear()
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,48 +56,45 @@ class Encoder:
         parts = pre.get("pretokenizers") or [{}]
         worded = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "")
         self.kind = "spaced" if spaced else "worded" if worded else "whole"
-        self.marks = {m: np.array(self.model.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in MARKS}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Encode new pieces: a word with at most one mark after it by the library's model alone, which is what
-        remains of the work for a run of letters; all other pieces by the whole of it."""
-        if len(cache) > KEPT:
-            cache.clear()
-        new, others = pieces.difference(cache), []
-        tokenize, worded, pack = self.model.model.tokenize, self.kind == "worded", array
-        front = "\u0120" if lead else ""
-        for p in new:
-            mark = MARKS.get(p[-1:], "")
-            word = p[:-1] if mark else p
-            if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
-                if worded:
-                    word = word.lower()
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(BYTE_CHARS)
-                cache[p] = pack("I", [t.id for t in tokenize(front + word)]).tobytes() + (self.marks[mark] if mark else b"")
-            else:
-                others.append(p)
-        if others:
-            for p, e in zip(others, self.model.encode_batch_fast([lead + p for p in others], add_special_tokens=False), strict=True):
-                cache[p] = pack("I", e.ids).tobytes()
+        self.marks = {m: self._ids(m) for m in MARKS}
+        self.line = self._ids("\n")
+        self.first = Pieces(lambda p: self._learn(p, ""))
+        self.later = Pieces(lambda p: self._learn(p, " " if spaced else ""))
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, piece: str, lead: str) -> bytes:
+        """A word with at most one mark after it by the library's model alone, which is what remains of the work
+        for a run of letters; pieces with line ends by their lines; all others by the whole of it."""
+        mark = self.marks.get(piece[-1:])
+        word = piece if mark is None else piece[:-1]
+        if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+            if self.kind == "worded":
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+            if lead:
+                word = "\u0120" + word
+            ids = array("I", [t.id for t in self.model.model.tokenize(word)]).tobytes()
+            return ids if mark is None else ids + mark
+        if "\n" in piece and LINES.fullmatch(piece):
+            head, *rest = piece.split("\n")
+            return (self.later if lead else self.first)[head] + b"".join([self.line + (self.first[x] if x else b"") for x in rest])
+        return self._ids(lead + piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.kind == "whole":
-            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+            return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        get, join = self.later.__getitem__, b"".join
         if self.kind == "worded":
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-            self._learn(self.later, set().union(*cut), "")
-            get = self.later.__getitem__
-            return [b"".join(map(get, c)) for c in cut]
-        cut = [_after_word.split(t) if _after_space.search(t) else t.split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        self._learn(self.first, set(heads), "")
-        self._learn(self.later, set().union(*cut), " ")
-        get = self.later.__getitem__
-        return [self.first[h] + b"".join(map(get, c)) for h, c in zip(heads, cut, strict=True)]
+            return [join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        out = []
+        for t in texts:
+            head, *rest = _after_word.split(t) if _after_space.search(t) else t.split(" ")
+            out.append(self.first[head] + join(map(get, rest)))
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -91,3 +102,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Empty the worker's encoders; a stage that encodes nothing needs the room."""
+    _encoders.clear()

@@ -115,11 +115,11 @@ def shingle_hashes(h: np.ndarray, doc: np.ndarray, k: int, n_docs: int) -> tuple
         full = doc[: len(h) - k + 1] == doc[k - 1 :]
         s = np.zeros(len(h) - k + 1, U)
         for i in range(k):
-            s = mix(s + h[i : len(h) - k + 1 + i] + U(i + 1) * _BASE)
+            s = mix(s + h[i : len(h) - k + 1 + i] + np.uint64((i + 1) * int(_BASE) & (2**64 - 1)))
         out.append(s[full])
         docs.append(doc[: len(h) - k + 1][full])
     for d in np.flatnonzero((counts > 0) & (counts < k)):
-        s = np.full(1, counts[d], U) * _BASE
+        s = mix(np.full(1, counts[d], U) * _BASE)
         for x in h[first[d] : first[d] + counts[d]]:
             s = mix(s * U(3) + x)
         out.append(s)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm.encode import encoder
+from hustings.llm.encode import encoder, forget
 from hustings.llm.simple8b import block, read_block
 from hustings.llm.store import partitions, whole_texts
 from hustings.llm.textops import steps
@@ -52,6 +52,7 @@ def _encode(path: str, end_id: int, edges: list[float]):
 
 
 def _write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     doc_ids, lengths, held, total = [], [], [], 0
     shard = before = number = 0
 
@@ -98,6 +99,7 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str, end_id: int, sha
 
 def _read_blocks(starts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for shard, before, data in zip(*(batch[c].to_pylist() for c in ("shard", "before", "data")), strict=True):
                 doc_ids, ends, ids = read_block(data)
