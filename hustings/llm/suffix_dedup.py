@@ -41,6 +41,8 @@ WIDTH, GRAM = 100, 20
 SPREAD = WIDTH - GRAM + 1
 #: Senders beyond which an anchor's windows are dealt one by one.
 HOT = 128
+#: Senders for each shuffle partition; a sender's documents and their arrays are held at once.
+SENDERS = 3
 #: A repeated row of a doc_id is another document; its number is above the positions in a text.
 AGAIN = 36
 PAD = 128
@@ -241,9 +243,10 @@ def held(table: pa.Table) -> Held:
 
 
 def _runs(off: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of documents of about a third of a step each: a position has several words of 8 bytes here."""
     out, i = [], 0
     while i < len(off) - 1:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + STEP, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + STEP // 3, side="right")) - 1)
         out.append((i, j))
         i = j
     return out
@@ -346,7 +349,7 @@ def send_windows(buckets: int):
         which = np.searchsorted(d.off, at[use], side="right") - 1
         family, rows, mark_doc, mark_at = IndexFamily(), [], [], []
         # batches of anchors in order of the documents
-        size = 60_000
+        size = 30_000
         for i in range(0, len(use), size):
             u, w = use[i : i + size], which[i : i + size]
             place = (d.again[w] << AGAIN) + at[u] - d.off[w]
@@ -472,7 +475,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    dealt = whole_texts(docs).withColumn("sender", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    dealt = whole_texts(docs).withColumn("sender", F.pmod(F.xxhash64("doc_id"), F.lit(SENDERS * n)).cast("int"))
     told = dealt.groupBy("sender").applyInArrow(tell_anchors(n), "owner int, sender int, n long, k int, blob binary")
     maps = told.groupBy("owner").applyInArrow(answer, "owner int, sender int, n long, shared binary, hot binary")
     sent = dealt.groupBy("sender").cogroup(maps.groupBy("sender")).applyInArrow(send_windows(n), "bucket int, sender int, done boolean, blob binary")
