@@ -40,7 +40,7 @@ WIDTH, GRAM = 100, 20
 #: Grams in a window, so windows that an anchor can have.
 SPREAD = WIDTH - GRAM + 1
 #: Senders beyond which an anchor's windows are dealt one by one.
-HOT = 128
+HOT = 4096
 #: Senders for each shuffle partition; a sender's documents and their arrays are held at once.
 SENDERS = 3
 #: A repeated row of a doc_id is another document; its number is above the positions in a text.
