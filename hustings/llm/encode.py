@@ -14,7 +14,7 @@ import re
 from array import array
 
 #: Pieces that a worker keeps.
-KEPT = 400_000
+KEPT = 800_000
 _after_word = re.compile(r"(?<=\S) ")
 _after_space = re.compile(r"\s ")
 #: Lines with one or two line ends between them, which the byte-level vocabulary takes one by one.
