@@ -16,11 +16,10 @@ from array import array
 #: Pieces that a worker keeps.
 KEPT = 800_000
 _after_word = re.compile(r"(?<=\S) ")
-_after_space = re.compile(r"\s ")
-#: Lines with one or two line ends between them, which the byte-level vocabulary takes one by one.
-LINES = re.compile(r"\S+(?:\n{1,2}\S+)+")
-#: Marks that end words; letters below U+0250, where composition and case don't change bytes' order (U+0130 apart).
-MARKS = {m: m for m in ".,;:!?"}
+#: White space beside the space and the line end, and where those two stand together.
+_unusual = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", "\n\n", " \n", "\n "]
+#: A word and marks after it; letters below U+0250, where composition and case don't change bytes' order (U+0130 apart).
+MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 LATIN = re.compile(r"[^\W\d_\u0130\u0250-\U0010FFFF]+")
 #: How byte-level vocabularies write the bytes of characters above ASCII: those without a visible character get the next from U+0100.
 _hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
@@ -56,7 +55,7 @@ class Encoder:
         parts = pre.get("pretokenizers") or [{}]
         worded = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "")
         self.kind = "spaced" if spaced else "worded" if worded else "whole"
-        self.marks = {m: self._ids(m) for m in MARKS}
+        self.tokenize = self.model.model.tokenize
         self.line = self._ids("\n")
         self.first = Pieces(lambda p: self._learn(p, ""))
         self.later = Pieces(lambda p: self._learn(p, " " if spaced else ""))
@@ -64,23 +63,33 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, piece: str, lead: str) -> bytes:
-        """A word with at most one mark after it by the library's model alone, which is what remains of the work
-        for a run of letters; pieces with line ends by their lines; all others by the whole of it."""
-        mark = self.marks.get(piece[-1:])
-        word = piece if mark is None else piece[:-1]
-        if word.isalpha() and (word.isascii() or LATIN.fullmatch(word)):
+    def _word(self, word: str, lead: str) -> bytes | None:
+        """Ids of a run of letters by the library's model alone, which is what remains of the work for one; None
+        for other letters than those that lower-casing and composition leave as they are."""
+        if not word.isascii():
+            if not LATIN.fullmatch(word):
+                return None
             if self.kind == "worded":
                 word = word.lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(BYTE_CHARS)
-            if lead:
-                word = "\u0120" + word
-            ids = array("I", [t.id for t in self.model.model.tokenize(word)]).tobytes()
-            return ids if mark is None else ids + mark
-        if "\n" in piece and LINES.fullmatch(piece):
-            head, *rest = piece.split("\n")
-            return (self.later if lead else self.first)[head] + b"".join([self.line + (self.first[x] if x else b"") for x in rest])
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        elif self.kind == "worded":
+            word = word.lower()
+        return array("I", [t.id for t in self.tokenize("\u0120" + word if lead else word)]).tobytes()
+
+    def _learn(self, piece: str, lead: str) -> bytes:
+        """A word, a word and marks after it, a line end before a word, or else any piece by the whole of the work."""
+        if piece.isalpha():
+            ids = self._word(piece, lead)
+            if ids is not None:
+                return ids
+        elif self.kind == "spaced" and piece[:1] == "\n" and lead:
+            # see encode: it stands for itself, with no space before it
+            return self.line + self.first[piece[1:]]
+        elif marked := MARKED.fullmatch(piece):
+            word, marks = marked.groups()
+            if word.isascii() or LATIN.fullmatch(word):
+                ids = (self.later if lead or self.kind == "worded" else self.first).get(word) or self._word(word, lead)
+                return ids + (self.later if self.kind == "worded" else self.first)[marks]
         return self._ids(lead + piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -92,8 +101,14 @@ class Encoder:
             return [join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
         out = []
         for t in texts:
-            head, *rest = _after_word.split(t) if _after_space.search(t) else t.split(" ")
-            out.append(self.first[head] + join(map(get, rest)))
+            if t[:1].isspace() or t[-1:].isspace() or any(c in t for c in _unusual):
+                # without the pieces that begin with a line end, which stand for that alone
+                head, *rest = _after_word.split(t)
+                ids = [get(p) if p[:1] != "\n" else self._ids(" " + p) for p in rest]
+                out.append(self._ids(head) + join(ids))
+            else:
+                head, *rest = t.replace("\n", " \n").split(" ")
+                out.append((self.first[head] if head else b"") + join(map(get, rest)))
         return out
 
 

@@ -20,7 +20,7 @@ MAGIC = b"S8B1"
 
 def _lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position the selector that a word starting there would have, and its ids."""
-    n = len(v)
+    n, v = len(v), v.astype(np.uint32)
     best = np.full(n, len(FIELDS) - 1, np.uint8)
     open_ = np.ones(n, bool)
     for s, (count, bits) in enumerate(FIELDS[:-1]):
@@ -29,7 +29,7 @@ def _lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # escapes cost 4 bytes each, so a word may have one for each 8 ids, or one of 5 to 7
         allowed = count // 8 if count >= 8 else int(count >= 5)
         large = np.zeros(n + 1, np.int32)
-        np.cumsum(v >= U((1 << bits) - 1), out=large[1:])
+        np.cumsum(v >= np.uint32((1 << bits) - 1), out=large[1:], dtype=np.int32)
         fits = (large[count:] - large[: n + 1 - count]) <= allowed
         take = open_[: n + 1 - count] & fits
         best[: n + 1 - count][take] = s
