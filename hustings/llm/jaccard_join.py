@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +33,15 @@ from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, word_
 
 #: Words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 4, 85
-CELLS = 64
+CELLS = 32
 #: Shingles that have a place of their own in the order, at most; each costs 8 bytes of a broadcast.
-COMMON = 65_536
+COMMON = 262_144
 #: A shingle in more documents of one task than this is counted as a common one.
-NOTICED = 4
+NOTICED = 2
 #: Length beyond which a list has a pivot, and members of a block.
 LIST, BLOCK = 64, 512
+#: Buckets of index lists for each shuffle partition; a bucket's entries are held at once.
+BUCKETS = 4
 SHELL = 0.05
 
 
@@ -90,7 +93,7 @@ def _signatures(words: int, percent: int, common: np.ndarray):
                 place = np.zeros(len(s), np.int64)
             order = np.lexsort((s, place, doc))
             p = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            cells = np.bincount(doc * CELLS + (s >> U(58)).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS)
+            cells = np.bincount(doc * CELLS + (s >> U(59)).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS)
             # 255 stands for any larger count, see _bound
             cells = np.minimum(cells, 255).astype(np.uint8)
             a, b = mix(s + U(1)), mix(s ^ U(0xA5A5A5A5A5A5A5A5))
@@ -108,35 +111,77 @@ def _signatures(words: int, percent: int, common: np.ndarray):
     return run
 
 
-def _deal(buckets: int, common: np.ndarray):
-    """Prefix entries to buckets of the shingle's hash; entries of common shingles as rows of their own."""
+def _coded(s: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray) -> bytes:
+    """Entries in order of their nodes: 40 bits of the shingle, gaps of nodes, sizes and places, compressed."""
+    low = (s >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    rest = np.diff(node, prepend=0).astype("<i8").tobytes() + n.astype("<u4").tobytes() + place.astype("<u4").tobytes()
+    return len(s).to_bytes(8, "little") + low.tobytes() + zstandard.ZstdCompressor(level=3).compress(rest)
+
+
+def _decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k = int.from_bytes(blob[:8], "little")
+    s = np.zeros((k, 8), np.uint8)
+    s[:, :5] = np.frombuffer(blob, np.uint8, 5 * k, 8).reshape(-1, 5)
+    rest = zstandard.ZstdDecompressor().decompress(blob[8 + 5 * k :])
+    node = np.cumsum(np.frombuffer(rest, "<i8", k))
+    return s.view("<u8").ravel(), node, np.frombuffer(rest, "<u4", k, 8 * k).astype(np.int64), np.frombuffer(rest, "<u4", k, 12 * k).astype(np.int64)
+
+
+def _deal(buckets: int, hot: np.ndarray):
+    """Prefix entries to buckets of the shingle's hash, but those of hot shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.sort(common)
+        known = np.sort(hot)
+        parts, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            s, node, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            to = (mix(s.copy()) % U(buckets)).astype(np.int64)
+            order = np.lexsort((node, to))
+            edges = np.searchsorted(to[order], np.arange(buckets + 1))
+            rows = [(b, _coded(*(x[order[edges[b] : edges[b + 1]]] for x in (s, node, n, place)))) for b in range(buckets) if edges[b] < edges[b + 1]]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+
         for batch in batches:
-            blobs = [np.frombuffer(b, U) for b in batch["prefix"].to_pylist()]
-            size = np.array([len(b) for b in blobs], np.int64)
-            if not size.sum():
-                continue
-            s = np.concatenate(blobs)
-            row = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
-            node, n = batch["node"].to_numpy()[row], batch["n"].to_numpy()[row]
-            i = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-            hot = known[i] == s if len(known) else np.zeros(len(s), bool)
-            to = np.where(hot, -1, (mix(s.copy()) % U(buckets)).astype(np.int64))
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(-1, buckets + 1))
-            rows = []
-            for b in range(buckets):
-                mine = order[edges[b + 1] : edges[b + 2]]
-                if len(mine):
-                    rows.append((b, s[mine].tobytes() + node[mine].astype("<i8").tobytes() + n[mine].astype("<i4").tobytes() + place[mine].astype("<i4").tobytes()))
-            hot = order[: edges[1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows] + [None] * len(hot), pa.int32()), pa.array([r[1] for r in rows] + [None] * len(hot), pa.binary()), pa.array([None] * len(rows) + s[hot].view(np.int64).tolist(), pa.int64()), pa.array([None] * len(rows) + node[hot].tolist(), pa.int64())],
-                ["bucket", "blob", "shingle", "node"],
-            )
+            s, row, place = _entries(batch)
+            keep = ~_among(s, known)
+            s, row, place = s[keep], row[keep], place[keep]
+            if len(s):
+                parts.append((s, batch["node"].to_numpy()[row], batch["n"].to_numpy()[row], place))
+                held += len(s)
+            if held > 1_000_000:
+                yield flush()
+                held = 0
+        if parts:
+            yield flush()
+
+    return run
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, row, place in the prefix) of each prefix entry."""
+    blobs = [np.frombuffer(b, U) for b in batch["prefix"].to_pylist()]
+    size = np.array([len(b) for b in blobs], np.int64)
+    s = np.concatenate(blobs) if blobs else np.zeros(0, U)
+    return s, np.repeat(np.arange(len(size)), size), np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _among(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(s), bool)
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
+
+
+def _hot_entries(hot: np.ndarray):
+    """(shingle, node) of the prefix entries of hot shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.sort(hot)
+        for batch in batches:
+            s, row, _ = _entries(batch)
+            mine = _among(s, known)
+            yield pa.RecordBatch.from_arrays([pa.array(s[mine].view(np.int64)), pa.array(batch["node"].to_numpy()[row[mine]])], ["shingle", "node"])
 
     return run
 
@@ -145,44 +190,41 @@ def _lists(percent: int):
     """A bucket's index lists: pairs of short ones after block skipping, memberships of long ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        raw = [[], [], [], []]
-        for blob in table["blob"].to_pylist():
-            k = len(blob) // 24
-            for i, (kind, at) in enumerate((("<u8", 0), ("<i8", 8 * k), ("<i4", 16 * k), ("<i4", 20 * k))):
-                raw[i].append(np.frombuffer(blob, kind, k, at))
-        s, node, n, place = (np.concatenate(x) for x in raw)
-        _, inverse, counts = np.unique(s, return_inverse=True, return_counts=True)
-        keep = counts[inverse] > 1
-        s, node, n, place = s[keep], node[keep], n[keep].astype(np.int64), place[keep].astype(np.int64)
+        s, node, n, place = (np.concatenate(x) for x in zip(*(_decoded(b) for b in table["blob"].to_pylist()), strict=True))
+        order = np.argsort(s, kind="stable")
+        new = np.concatenate(([True], s[order[1:]] != s[order[:-1]], [True]))
+        many = ~(new[1:] & new[:-1])
+        order = order[many]
+        s, node, n, place = s[order], node[order], n[order], place[order]
         order = np.lexsort((place, n, s))
         s, node, n, place = s[order], node[order], n[order], place[order]
         edges = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else np.zeros(1, np.int64)
         sizes = np.diff(edges)
-        first, second, kind = [], [], []
+        found, members = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for size in np.unique(sizes):
             starts = edges[:-1][sizes == size]
             if size > LIST:
                 for a in starts:
-                    members = node[a : a + size]
-                    first.append(np.full(size, members.min()))
-                    second.append(members)
-                    kind.append(np.ones(size, np.int8))
+                    own = node[a : a + size]
+                    members.append(np.stack((np.full(size, own.min()), own), axis=1))
                 continue
-            # step by step through the lists of one length: entry j against the block of entries before it
+            # one entry of each list of this length against the block of shorter sets before it
             for j in range(1, size):
-                for i in range(j):
-                    x, y = starts + i, starts + j
+                y = starts + j
+                for i in range(j - 1, -1, -1):
+                    x = starts + i
                     fits = 100 * n[x] >= percent * n[y]
-                    left = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
-                    ok = fits & (left >= needed(n[x], n[y], percent))
+                    if not fits.any():
+                        # sets before are smaller still
+                        break
+                    ok = fits & (np.minimum(n[x] - place[x], n[y] - place[y]) >= needed(n[x], n[y], percent))
                     if ok.any():
-                        first.append(np.minimum(node[x[ok]], node[y[ok]]))
-                        second.append(np.maximum(node[x[ok]], node[y[ok]]))
-                        kind.append(np.zeros(int(ok.sum()), np.int8))
-        if not first:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int8())], names=["hub", "node", "kind"])
-        rows = np.unique(np.stack((np.concatenate(first), np.concatenate(second), np.concatenate(kind).astype(np.int64)), axis=1), axis=0)
-        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int8))], names=["hub", "node", "kind"])
+                        found.append(np.stack((np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])), axis=1))
+            if sum(map(len, found)) > 2_000_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs, groups = np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(members), axis=0)
+        rows = np.concatenate((pairs, groups))
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.repeat([0, 1], [len(pairs), len(groups)]).astype(np.int8))], names=["hub", "node", "kind"])
 
     return run
 
@@ -294,19 +336,20 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     spark = docs.sparkSession
     n = partitions(spark)
     texts = whole_texts(docs)
-    counted = texts.mapInArrow(_count_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > LIST)
-    common = np.array([r[0] for r in counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()][::-1], np.int64).view(U)
+    counted = texts.mapInArrow(_count_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    ranked = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()[::-1]
+    common = np.array([r[0] for r in ranked], np.int64).view(U)
+    hot = common[np.array([r[1] for r in ranked], np.int64) > LIST]
 
     signed = materialise(texts.mapInArrow(_signatures(words, percent, common), "doc_id long, n long, fp binary, cells binary, prefix binary"), "signatures")
     classes = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    dealt = materialise(classes.select("node", "n", "prefix").mapInArrow(_deal(n, common), "bucket int, blob binary, shingle long, node long"), "prefixes")
-    listed = dealt.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(_lists(percent), "hub long, node long, kind byte")
-    hot = dealt.filter("bucket IS NULL").select("shingle", "node")
-    # one row for each common shingle at most
-    pivots = hot.groupBy("shingle").agg(F.min("node").alias("hub"))
-    members = hot.join(F.broadcast(pivots), "shingle").filter("hub <> node").select("hub", "node", F.lit(1).cast("byte").alias("kind"))
+    listed = classes.select("node", "n", "prefix").mapInArrow(_deal(BUCKETS * n, hot), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists(percent), "hub long, node long, kind byte")
+    at_hot = classes.select("node", "prefix").mapInArrow(_hot_entries(hot), "shingle long, node long")
+    # one row for each hot shingle at most
+    pivots = at_hot.groupBy("shingle").agg(F.min("node").alias("hub"))
+    members = at_hot.join(F.broadcast(pivots), "shingle").filter("hub <> node").select("hub", "node", F.lit(1).cast("byte").alias("kind"))
     pairs = listed.filter("hub <> node").unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
 
     cells = classes.select("node", "n", "cells")
