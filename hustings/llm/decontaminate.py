@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hustings.llm.encode import forget
 from hustings.llm.store import whole_texts
 from hustings.llm.textops import ALNUM, U, shingle_hashes, steps, text_bytes, word_bounds, word_hashes
 
@@ -160,6 +161,7 @@ HITS = "doc_id long, item_id long, bm25 double, overlap double, question_overlap
 
 def _retrieve(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         half, mask = PASSAGE // 2, U((1 << SIEVE) - 1)
         for part, data, off in steps(batches):
             n = part.num_rows

@@ -120,5 +120,5 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Empty the worker's encoders; a stage that encodes nothing needs the room."""
+    """Drop the worker's encoders, which a stage that encodes nothing would carry along."""
     _encoders.clear()

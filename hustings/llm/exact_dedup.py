@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hustings.llm.encode import forget
 from hustings.llm.store import materialise, partitions, whole_texts
 
 U = np.uint64
@@ -65,6 +66,7 @@ def send(owners: int):
     """A sender's coded ranges, for applyInArrow over its rows (sender, fp)."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         sender = table["sender"][0].as_py()
         fps = np.unique(table["fp"].to_numpy().view(U))
         at = _owner_starts(fps, owners)
@@ -85,6 +87,7 @@ def answer(owners: int):
     """An owner's bitmaps, one for each sender: set where another sender has the fingerprint as well."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         owner, senders = table["owner"][0].as_py(), table["sender"].to_pylist()
         base = U((owner << 64) // owners)
         parts = [rice_decode(n, k, b) + base for n, k, b in zip(table["n"].to_pylist(), table["k"].to_pylist(), table["blob"].to_pylist(), strict=True)]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm.components import components
+from hustings.llm.encode import forget
 from hustings.llm.store import materialise, partitions, whole_texts
 from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, word_bounds, word_hashes
 
@@ -63,6 +64,7 @@ def sets_of(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray,
 
 def _count_common(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
         for _, data, off in steps(batches):
             s, _ = sets_of(data, off, words)
@@ -80,6 +82,7 @@ def _signatures(words: int, percent: int, common: np.ndarray):
     """common: shingles in order from the least common; sorted copy and places are made once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         by_hash = np.argsort(common)
         known = common[by_hash]
         for part, data, off in steps(batches):
@@ -190,6 +193,7 @@ def _lists(percent: int):
     """A bucket's index lists: pairs of short ones after block skipping, memberships of long ones."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         s, node, n, place = (np.concatenate(x) for x in zip(*(_decoded(b) for b in table["blob"].to_pylist()), strict=True))
         order = np.argsort(s, kind="stable")
         new = np.concatenate(([True], s[order[1:]] != s[order[:-1]], [True]))
@@ -264,6 +268,7 @@ def _against_hub(words: int):
     """Overlap of each member with the group's hub."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         sets = _held_sets(table, words)
         hub = sets[int(np.argmax(table["is_hub"].to_numpy()))]
         rows = [i for i, h in enumerate(table["is_hub"].to_pylist()) if not h]
