@@ -151,7 +151,7 @@ def path_token(c: Column | str, most: int) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """Trimmed parts between commas, none of them empty."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def outlet_from_domain(c: Column | str, otherwise: str = "") -> Column:
