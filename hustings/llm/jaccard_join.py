@@ -7,6 +7,7 @@ are, rare ones first by hash, so two similar sets share one of their first few (
   each set. Blocks of a list whose sizes or places leave too little for the required overlap are skipped.
   Pairs left are held against each other's counts in ``CELLS`` parts of the hash range, a bound of the overlap,
   and only then against the sets themselves.
+  For lists of some length the counts are joined to the members first, so pairs that they rule out never leave.
 * Answers from answers. A long list, that of a shingle common to a large group, is not paired. Its members are
   compared with a pivot, the list's least class. Jaccard distance is a metric: members that the pivot links are
   connected through it and need no comparison with each other, and of all others only those can be similar whose
@@ -39,8 +40,9 @@ CELLS = 32
 COMMON = 262_144
 #: A shingle in more documents of one task than this is counted as a common one.
 NOTICED = 2
-#: Length beyond which a list has a pivot, and members of a block.
-LIST, BLOCK = 64, 512
+#: Lengths beyond which a list is paired only after its members' counts are at hand, and beyond which it has a
+#: pivot; members of a block.
+SHORT, LIST, BLOCK = 10, 64, 512
 #: Buckets of index lists for each shuffle partition; a bucket's entries are held at once.
 BUCKETS = 4
 SHELL = 0.05
@@ -190,7 +192,8 @@ def _hot_entries(hot: np.ndarray):
 
 
 def _lists(percent: int):
-    """A bucket's index lists: pairs of short ones after block skipping, memberships of long ones."""
+    """A bucket's index lists: pairs of short ones after block skipping (kind 0), memberships of long ones with the
+    pivot (1), memberships of those between with the shingle (2)."""
 
     def run(table: pa.Table) -> pa.Table:
         forget()
@@ -204,7 +207,7 @@ def _lists(percent: int):
         s, node, n, place = s[order], node[order], n[order], place[order]
         edges = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else np.zeros(1, np.int64)
         sizes = np.diff(edges)
-        found, members = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        found, members, crowds = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for size in np.unique(sizes):
             starts = edges[:-1][sizes == size]
             if size > LIST:
@@ -212,6 +215,10 @@ def _lists(percent: int):
                     own = node[a : a + size]
                     members.append(np.stack((np.full(size, own.min()), own), axis=1))
                 continue
+            if size > SHORT:
+                at = (starts[:, None] + np.arange(size)[None, :]).ravel()
+                crowds.append(np.stack((s[at].view(np.int64), node[at]), axis=1))
+                continue
             # one entry of each list of this length against the block of shorter sets before it
             for j in range(1, size):
                 y = starts + j
@@ -226,9 +233,32 @@ def _lists(percent: int):
                         found.append(np.stack((np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])), axis=1))
             if sum(map(len, found)) > 2_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
-        pairs, groups = np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(members), axis=0)
-        rows = np.concatenate((pairs, groups))
-        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.repeat([0, 1], [len(pairs), len(groups)]).astype(np.int8))], names=["hub", "node", "kind"])
+        parts = [np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(members), axis=0), np.concatenate(crowds)]
+        rows = np.concatenate(parts)
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.repeat([0, 1, 2], [len(x) for x in parts]).astype(np.int8))], names=["hub", "node", "kind"])
+
+    return run
+
+
+def _crowds(percent: int):
+    """Pairs of the lists between short and long whose counts by cell leave the overlap possible."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("hub", "ascending"), ("n", "ascending")])
+        shingle, node, n = (table[c].to_numpy() for c in ("hub", "node", "n"))
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32)
+        edges = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1], [True])))
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            c, m = cells[a:b], n[a:b]
+            most = np.minimum(c[:, None, :], c[None, :, :]).sum(axis=2)
+            full = ((c == 255)[:, None, :] & (c == 255)[None, :, :]).any(axis=2)
+            most = np.where(full, np.minimum(m[:, None], m[None, :]), most)
+            i, j = np.nonzero(np.triu((most >= needed(m[:, None], m[None, :], percent)) & (100 * m[:, None] >= percent * m[None, :]), 1))
+            x, y = node[a + i], node[a + j]
+            found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
+        rows = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.zeros(len(rows), np.int8))], names=["hub", "node", "kind"])
 
     return run
 
@@ -281,40 +311,45 @@ def _against_hub(words: int):
 
 
 def join_block(sets: list[np.ndarray], side: np.ndarray, linked: np.ndarray, pivot: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different sides (of one, if all are on one), but for two that the pivot links.
+    """Links that connect members of different sides (all, if there is one), beyond what the pivot connects.
 
     pivot: distance to it. Members go in order of that distance, so the ones that it leaves possible are a run.
-    A member that lies within a few hundredths of one already answered takes over what that one's distances
-    decide and compares itself with the rest only.
+    Members that are connected already are not compared. A member that lies within a few hundredths of one that
+    was answered leaves out those that the other's distances rule out.
     """
-    far = 1 - percent / 100
-    slack = 1e-9
+    far, slack = 1 - percent / 100, 1e-9
     order = np.argsort(pivot, kind="stable")
     found: list[tuple[int, int]] = []
     answered: list[tuple[int, dict[int, float]]] = []
     sizes = np.array([len(s) for s in sets])
     one_side = len(np.unique(side)) == 1
+    # the pivot's members are one component from the start
+    root = np.where(linked, int(np.flatnonzero(linked)[0]) if linked.any() else 0, np.arange(len(sets)))
     p = pivot[order]
     for at, i in enumerate(order):
         stop = int(np.searchsorted(p, pivot[i] + far + slack, side="right"))
-        later = [int(j) for j in order[at + 1 : stop] if (one_side or side[i] != side[j]) and not (linked[i] and linked[j]) and 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])]
-        if not later:
+        later = order[at + 1 : stop]
+        later = later[100 * np.minimum(sizes[i], sizes[later]) >= percent * np.maximum(sizes[i], sizes[later])]
+        if not one_side:
+            later = later[side[later] != side[i]]
+        later = later[root[later] != root[i]]
+        if not len(later):
             continue
-        near, known = None, {}
-        for k, answers in reversed(answered[-4:]):
+        near, known = 0.0, {}
+        for _, answers in reversed(answered[-4:]):
             d = answers.get(int(i))
-            if d is not None and d <= 0.05 and (near is None or d < near):
+            if d is not None and d <= 0.05 and (not known or d < near):
                 near, known = d, answers
         mine: dict[int, float] = {}
-        for j in later:
-            d = known.get(j)
-            if d is not None and d - near > far + slack:
+        for j in map(int, later):
+            if root[j] == root[i] or (j in known and known[j] - near > far + slack):
                 continue
             both = _overlap(sets[i], sets[j]) if sizes[i] >= sizes[j] else _overlap(sets[j], sets[i])
             union = int(sizes[i] + sizes[j]) - both
-            mine[j] = 1 - both / union if union else 1.0
-            if 100 * both >= percent * union and both:
+            mine[j] = 1 - both / union
+            if 100 * both >= percent * union:
                 found.append((int(i), j))
+                root[root == root[j]] = root[i]
         if mine:
             answered.append((int(i), mine))
     return found
@@ -350,14 +385,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     classes = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
+    cells = classes.select("node", "n", "cells")
     listed = classes.select("node", "n", "prefix").mapInArrow(_deal(BUCKETS * n, hot), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists(percent), "hub long, node long, kind byte")
+    listed = materialise(listed, "lists")
+    crowds = listed.filter("kind = 2").join(cells, "node").groupBy(F.pmod(F.xxhash64("hub"), F.lit(n)).alias("bucket")).applyInArrow(_crowds(percent), "hub long, node long, kind byte")
     at_hot = classes.select("node", "prefix").mapInArrow(_hot_entries(hot), "shingle long, node long")
     # one row for each hot shingle at most
     pivots = at_hot.groupBy("shingle").agg(F.min("node").alias("hub"))
     members = at_hot.join(F.broadcast(pivots), "shingle").filter("hub <> node").select("hub", "node", F.lit(1).cast("byte").alias("kind"))
-    pairs = listed.filter("hub <> node").unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
+    pairs = listed.filter("kind < 2 AND hub <> node").unionByName(crowds).unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
 
-    cells = classes.select("node", "n", "cells")
     sized = pairs.join(cells.select(F.col("node").alias("hub"), F.col("n").alias("na"), F.col("cells").alias("cells_a")), "hub").join(cells.select("node", F.col("n").alias("nb"), F.col("cells").alias("cells_b")), "node")
     asked = materialise(sized.mapInArrow(_bound(percent), "hub long, node long, kind byte"), "pairs")
     # a group is dealt in parts of about a block, each with the hub
