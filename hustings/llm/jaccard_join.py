@@ -377,9 +377,11 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     n = partitions(spark)
     texts = whole_texts(docs)
     counted = texts.mapInArrow(_count_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    ranked = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()[::-1]
-    common = np.array([r[0] for r in ranked], np.int64).view(U)
-    hot = common[np.array([r[1] for r in ranked], np.int64) > LIST]
+    ranked = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    counts, common = ranked["n"].to_numpy(), ranked["shingle"].to_numpy().view(U)
+    # from the least common
+    order = np.lexsort((common, counts))
+    hot, common = common[counts > LIST], common[order]
 
     signed = materialise(texts.mapInArrow(_signatures(words, percent, common), "doc_id long, n long, fp binary, cells binary, prefix binary"), "signatures")
     classes = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))

@@ -8,6 +8,7 @@ alone: a passage's weight says how much it speaks for the whole.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hustings.llm.encode import forget
 from hustings.llm.labelled import held_out, training_rows
 from hustings.llm.store import whole_texts
 from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, table_of, word_bounds, word_hashes
@@ -159,19 +161,30 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11, epochs: in
     return m
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, data, off in steps(batches):
-        x, doc = features(data, off)
-        cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([part["doc_id"], part["label"], pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["doc_id", "label", "bag"])
+def _train_in_task(most: int):
+    """The sample's model, pickled, from the one task that has the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        kinds = pa.schema([("text", pa.string()), ("label", pa.int32()), ("order", pa.int64())])
+        whole = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=kinds) for b in batches], kinds)
+        whole = whole.sort_by([("order", "ascending"), ("text", "ascending")]).slice(0, most).combine_chunks()
+        bags = []
+        for part, data, off in steps(whole.to_batches(), most=1 << 20):
+            x, doc = features(data, off)
+            cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            bags += [x[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(bags, whole["label"].to_numpy()))], pa.binary())], ["model"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 5, remainder: int = 0, most: int = MOST_ROWS) -> Model:
-    """A model from at most ``most`` labelled rows that are not held out."""
+    """A model from at most ``most`` labelled rows that are not held out, trained in one task on an executor."""
     chosen = F.broadcast(training_rows(labels, column, modulus, remainder, most))
-    sample = whole_texts(docs).join(chosen, "doc_id").select("doc_id", "text", "label").mapInArrow(_bags, "doc_id long, label int, bag binary").toPandas()
-    sample = sample.sort_values(["doc_id", "bag"]).head(most)
-    return train([np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in sample["bag"]], sample["label"].to_numpy())
+    sample = whole_texts(docs).join(chosen, "doc_id").select("text", "label", F.xxhash64("doc_id", F.lit(1)).alias("order")).limit(2 * most)
+    row = sample.coalesce(1).mapInArrow(_train_in_task(most), "model binary").first()
+    return pickle.loads(row[0]) if row else train([], np.zeros(0, np.int64))
 
 
 def _score(model: Model):
