@@ -20,11 +20,15 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 _shipped: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, from which Python workers import the operators' functions."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        # rows hold texts, so a batch is bounded by its bytes, unless the session says otherwise
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if sc.applicationId in _shipped:
         return
     root, d = Path(__file__).resolve().parents[1], tempfile.mkdtemp(prefix="hustings-")
