@@ -39,10 +39,9 @@ def file_md5(spark: SparkSession, path: str) -> DataFrame:
 
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether the files decode as UTF-8, tested where they are read: bad bytes turn into U+FFFD, which valid text
-    without that character doesn't hold."""
-    bad = spark.read.text(path).filter(F.contains(F.col("value"), F.lit("�"))).limit(1)
-    return bad.isEmpty()
+    """Whether the files decode as UTF-8, tested where they are read, on the bytes of their lines."""
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"))
+    return lines.filter(~F.call_function("is_valid_utf8", F.col("raw").cast("string"))).limit(1).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str | None = None) -> DataFrame:

@@ -16,12 +16,13 @@ from urllib.parse import urlencode
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hustings.config import DEFAULTS, OUTLETS, Settings
 from hustings.functions.dates import api_time, event_time, request_time, within
 from hustings.functions.text import event_query, generic_query, outlet_from_domain
 from hustings.functions.url import canonical_url
-from hustings.operators.contracts import OUTLET_DIAGNOSTIC, SEARCH_HIT, conform, schema
+from hustings.operators.contracts import OUTLET_DIAGNOSTIC, SEARCH_HIT, conform
 from hustings.operators.matching import screen
 from hustings.operators.news import HIT_SEQ, dedup_within_query, outlet_counters, outlet_status, provider_status
 from hustings.operators.windows import request_windows, split_near_cap
@@ -162,7 +163,7 @@ _SEARCH_JSON = "struct<articles:array<struct<url:string,title:string,publishedAt
 
 def _ask(requests: DataFrame, transport: Transport, s: Settings, sleep: Callable[[float], None]) -> DataFrame:
     """requests with their answers: body, safe_url, error."""
-    out = schema(requests._jdf.schema().toDDL()).add("body", "string").add("safe_url", "string").add("error", "string")
+    out = T.StructType(list(requests.schema.fields)).add("body", "string").add("safe_url", "string").add("error", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,7 +194,7 @@ def event_index(cases: DataFrame, transport: Transport, s: Settings = DEFAULTS,
     def answers(requests: DataFrame) -> DataFrame:
         got = _ask(requests, transport, s, sleep)
         parsed = F.from_json("body", _EVENT_JSON)
-        bad = (F.col("error") == "") & parsed.isNull()
+        bad = (F.col("error") == "") & F.get_json_object("body", "$").isNull()
         return got.withColumn("articles", F.coalesce(parsed["articles"], F.array().cast("array<struct<url:string,title:string,seendate:string,domain:string,language:string>>"))).withColumn("error", F.when(bad, "parse_error").otherwise(F.col("error"))).cache()
 
     precise = answers(event_requests(base, "precise", s))
@@ -242,7 +243,7 @@ def search_api(cases: DataFrame, transport: Transport, s: Settings = DEFAULTS, s
     query is an error, and nothing is asked."""
     query = generic_query("full_name", F.col("commune_name"))
     planned = cases.withColumn("query_text", query)
-    out = schema(planned._jdf.schema().toDDL()).add("page", "int").add("body", "string").add("safe_url", "string").add("error", "string")
+    out = T.StructType(list(planned.schema.fields)).add("page", "integer").add("body", "string").add("safe_url", "string").add("error", "string")
     key, size, pages = s.gnews_api_key, s.gnews_max_articles_per_page, s.gnews_max_pages_per_query
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
