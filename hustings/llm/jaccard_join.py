@@ -7,7 +7,6 @@ are, rare ones first by hash, so two similar sets share one of their first few (
   each set. Blocks of a list whose sizes or places leave too little for the required overlap are skipped.
   Pairs left are held against each other's counts in ``CELLS`` parts of the hash range, a bound of the overlap,
   and only then against the sets themselves.
-  For lists of some length the counts are joined to the members first, so pairs that they rule out never leave.
 * Answers from answers. A long list, that of a shingle common to a large group, is not paired. Its members are
   compared with a pivot, the list's least class. Jaccard distance is a metric: members that the pivot links are
   connected through it and need no comparison with each other, and of all others only those can be similar whose
@@ -37,12 +36,12 @@ from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, word_
 WORDS, PERCENT = 4, 85
 CELLS = 32
 #: Shingles that have a place of their own in the order, at most; each costs 8 bytes of a broadcast.
-COMMON = 262_144
-#: A shingle in more documents of one task than this is counted as a common one.
-NOTICED = 2
-#: Lengths beyond which a list is paired only after its members' counts are at hand, and beyond which it has a
-#: pivot; members of a block.
-SHORT, LIST, BLOCK = 10, 64, 512
+COMMON = 1 << 20
+#: A shingle in more different sets of one task than this is counted as a common one.
+NOTICED = 1
+#: Length beyond which a list has a pivot; counted sets beyond which a shingle's list is not gathered at all, its
+#: pivot being the least class by a partial aggregate; members of a block.
+LIST, HOT, BLOCK = 10, 64, 512
 #: Buckets of index lists for each shuffle partition; a bucket's entries are held at once.
 BUCKETS = 4
 SHELL = 0.05
@@ -69,8 +68,12 @@ def _count_common(words: int):
         forget()
         keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
         for _, data, off in steps(batches):
-            s, _ = sets_of(data, off, words)
-            k, c = np.unique(s, return_counts=True)
+            s, cut = sets_of(data, off, words)
+            sums = np.concatenate((np.zeros(1, U), np.cumsum(mix(s + U(1)), dtype=U)))
+            _, one = np.unique(sums[cut[1:]] - sums[cut[:-1]], return_index=True)
+            first = np.zeros(len(cut) - 1, bool)
+            first[one] = True
+            k, c = np.unique(s[np.repeat(first, np.diff(cut))], return_counts=True)
             k, c = k[c > 1], c[c > 1]
             keys, inverse = np.unique(np.concatenate((keys, k)), return_inverse=True)
             counts = np.bincount(inverse, weights=np.concatenate((counts, c)), minlength=len(keys)).astype(np.int64)
@@ -193,7 +196,7 @@ def _hot_entries(hot: np.ndarray):
 
 def _lists(percent: int):
     """A bucket's index lists: pairs of short ones after block skipping (kind 0), memberships of long ones with the
-    pivot (1), memberships of those between with the shingle (2)."""
+    pivot (1)."""
 
     def run(table: pa.Table) -> pa.Table:
         forget()
@@ -207,7 +210,7 @@ def _lists(percent: int):
         s, node, n, place = s[order], node[order], n[order], place[order]
         edges = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1], [True]))) if len(s) else np.zeros(1, np.int64)
         sizes = np.diff(edges)
-        found, members, crowds = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        found, members = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for size in np.unique(sizes):
             starts = edges[:-1][sizes == size]
             if size > LIST:
@@ -215,10 +218,6 @@ def _lists(percent: int):
                     own = node[a : a + size]
                     members.append(np.stack((np.full(size, own.min()), own), axis=1))
                 continue
-            if size > SHORT:
-                at = (starts[:, None] + np.arange(size)[None, :]).ravel()
-                crowds.append(np.stack((s[at].view(np.int64), node[at]), axis=1))
-                continue
             # one entry of each list of this length against the block of shorter sets before it
             for j in range(1, size):
                 y = starts + j
@@ -233,32 +232,9 @@ def _lists(percent: int):
                         found.append(np.stack((np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])), axis=1))
             if sum(map(len, found)) > 2_000_000:
                 found = [np.unique(np.concatenate(found), axis=0)]
-        parts = [np.unique(np.concatenate(found), axis=0), np.unique(np.concatenate(members), axis=0), np.concatenate(crowds)]
+        parts = [np.unique(np.concatenate(x), axis=0) for x in (found, members)]
         rows = np.concatenate(parts)
-        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.repeat([0, 1, 2], [len(x) for x in parts]).astype(np.int8))], names=["hub", "node", "kind"])
-
-    return run
-
-
-def _crowds(percent: int):
-    """Pairs of the lists between short and long whose counts by cell leave the overlap possible."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("hub", "ascending"), ("n", "ascending")])
-        shingle, node, n = (table[c].to_numpy() for c in ("hub", "node", "n"))
-        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32)
-        edges = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1], [True])))
-        found = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            c, m = cells[a:b], n[a:b]
-            most = np.minimum(c[:, None, :], c[None, :, :]).sum(axis=2)
-            full = ((c == 255)[:, None, :] & (c == 255)[None, :, :]).any(axis=2)
-            most = np.where(full, np.minimum(m[:, None], m[None, :]), most)
-            i, j = np.nonzero(np.triu((most >= needed(m[:, None], m[None, :], percent)) & (100 * m[:, None] >= percent * m[None, :]), 1))
-            x, y = node[a + i], node[a + j]
-            found.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1))
-        rows = np.unique(np.concatenate(found), axis=0)
-        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.zeros(len(rows), np.int8))], names=["hub", "node", "kind"])
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.repeat([0, 1], [len(x) for x in parts]).astype(np.int8))], names=["hub", "node", "kind"])
 
     return run
 
@@ -381,7 +357,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     counts, common = ranked["n"].to_numpy(), ranked["shingle"].to_numpy().view(U)
     # from the least common
     order = np.lexsort((common, counts))
-    hot, common = common[counts > LIST], common[order]
+    hot, common = common[counts > HOT], common[order]
 
     signed = materialise(texts.mapInArrow(_signatures(words, percent, common), "doc_id long, n long, fp binary, cells binary, prefix binary"), "signatures")
     classes = signed.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))
@@ -389,13 +365,11 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     cells = classes.select("node", "n", "cells")
     listed = classes.select("node", "n", "prefix").mapInArrow(_deal(BUCKETS * n, hot), "bucket int, blob binary").groupBy("bucket").applyInArrow(_lists(percent), "hub long, node long, kind byte")
-    listed = materialise(listed, "lists")
-    crowds = listed.filter("kind = 2").join(cells, "node").groupBy(F.pmod(F.xxhash64("hub"), F.lit(n)).alias("bucket")).applyInArrow(_crowds(percent), "hub long, node long, kind byte")
     at_hot = classes.select("node", "prefix").mapInArrow(_hot_entries(hot), "shingle long, node long")
     # one row for each hot shingle at most
     pivots = at_hot.groupBy("shingle").agg(F.min("node").alias("hub"))
     members = at_hot.join(F.broadcast(pivots), "shingle").filter("hub <> node").select("hub", "node", F.lit(1).cast("byte").alias("kind"))
-    pairs = listed.filter("kind < 2 AND hub <> node").unionByName(crowds).unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
+    pairs = listed.filter("hub <> node").unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
 
     sized = pairs.join(cells.select(F.col("node").alias("hub"), F.col("n").alias("na"), F.col("cells").alias("cells_a")), "hub").join(cells.select("node", F.col("n").alias("nb"), F.col("cells").alias("cells_b")), "node")
     asked = materialise(sized.mapInArrow(_bound(percent), "hub long, node long, kind byte"), "pairs")
