@@ -8,11 +8,16 @@ kind are given whole texts. Special tokens' strings in a text are ordinary text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
 from array import array
 
+import pyarrow as pa
+
 #: Pieces that a worker keeps.
 KEPT = 400_000
 _after_word = re.compile(r"(?<=\S) ")
@@ -120,5 +125,11 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Drop the worker's encoders, which a stage that encodes nothing would carry along."""
+    """Drop the worker's encoders, which a stage that encodes nothing would carry along, and give back what they held."""
+    if not _encoders:
+        return
     _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
