@@ -147,6 +147,8 @@ def _no_wait(seconds):
 
 def event_web(url, timeout):
     q = parse_qs(urlsplit(url).query)
+    if "query" not in q:
+        return Reply(200, f"<p>{'texte ' * 40}</p>", url)
     if "AND (municipales" in q["query"][0]:
         return Reply(200, '{"articles": []}', url)
     day = q["startdatetime"][0][:8]
