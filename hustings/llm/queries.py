@@ -65,6 +65,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def secret_sql(rules: tuple[secret_scan.Rule, ...] = secret_scan.RULES) -> str:
+    """The scan in SQL: starts are the lengths of gaps and matches before, summed."""
+    parts = []
+    for place, r in enumerate(rules):
+        p = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, '{r.kind}' AS kind, {place} AS place, {r.base} AS base, {r.least} AS least, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', {r.group}) AS val, string_split_regex(t, '{p}') AS gap FROM d WHERE regexp_matches(t, '{p}')"
+        )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules if r.base)
+    n = [r.kind for r in rules if r.base]
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({' UNION ALL '.join(parts)}),
+        x AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
+        y AS (SELECT doc_id, kind, place, base, length(val[i]) >= least AS counted, length(whole[i]) AS span,
+                     list_sum(list_transform(gap[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda g: length(g))), 0) AS first FROM x),
+        z AS (SELECT *, concat(kind, ':', CAST(first AS BIGINT), ':', CAST(first + span AS BIGINT)) AS text FROM y WHERE counted),
+        s AS (SELECT doc_id, {counts}, string_agg(text, ',' ORDER BY first, place) FILTER (base) AS own, string_agg(text, ',' ORDER BY first, place) AS spans FROM z GROUP BY doc_id)
+        SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in n)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
@@ -85,4 +106,5 @@ ORACLES: dict[str, str] = {
                row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
     """,
+    "op8_secret_scan": secret_sql(),
 }
