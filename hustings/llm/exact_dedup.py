@@ -136,7 +136,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     classes = classes.join(checked, "sha").select(
         "sha", F.when(F.col("different") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts share a SHA-256")).cast("long")).alias("group_size"), "best"
     )
-    shared = suspects.join(classes, "sha").select(
+    # each sender asks once for a text, however often it has it, and its rows are joined with the answers by both
+    asked = suspects.select("sender", "sha").distinct().join(classes, "sha")
+    shared = suspects.join(asked, ["sender", "sha"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row"
     )
     alone = flagged.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row")
