@@ -36,7 +36,7 @@ from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, word_
 WORDS, PERCENT = 4, 85
 CELLS = 32
 #: Shingles that have a place of their own in the order, at most; each costs 8 bytes of a broadcast.
-COMMON = 1 << 20
+COMMON = 1 << 18
 #: A shingle in more different sets of one task than this is counted as a common one.
 NOTICED = 1
 #: Length beyond which a list has a pivot; counted sets beyond which a shingle's list is not gathered at all, its
@@ -382,7 +382,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     text_of = texts.select("doc_id", "text")
     # repeated rows of a doc_id may differ, so a text is taken for its class by the class's own mark
     sources = materialise(signed.select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "repeated")
-    if not sources.isEmpty():
+    repeated = not sources.isEmpty()
+    if repeated:
         text_of = text_of.mapInArrow(_with_marks(words), "doc_id long, text string, fp binary")
         on = lambda t: (text_of.doc_id.eqNullSafe(t.doc_id)) & (text_of.fp == t.fp)
     else:
@@ -390,7 +391,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
         named_rows = rows.join(named, "node")
-        return text_of.join(named_rows, on(named_rows)).select(*columns, text_of.text).dropDuplicates(columns) if not sources.isEmpty() else text_of.join(named_rows, on(named_rows)).select(*columns, text_of.text)
+        # the rows grow with the input, so they are not broadcast where they happen to be few
+        found = text_of.join(named_rows.hint("merge"), on(named_rows)).select(*columns, text_of.text)
+        return found.dropDuplicates(columns) if repeated else found
 
     grouped = with_text(wanted, ["hub", "part", "node", "kind", "is_hub"]).groupBy("hub", "part")
     answers = materialise(grouped.applyInArrow(_against_hub(words), "hub long, node long, kind byte, both long, na long, nb long"), "answers")
@@ -402,7 +405,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     around = answers.filter("kind = 1").select("hub", "node", "linked", "distance")
     open_ = around.filter("NOT linked").groupBy("hub").agg(F.min("distance").alias("nearest"))
     rest = around.join(open_, "hub").filter(F.col("distance") >= F.when(F.col("linked"), F.col("nearest") - (1 - percent / 100) - 1e-9).otherwise(0)).drop("nearest")
-    rest = materialise(rest.withColumn("shell", F.floor(F.col("distance") / SHELL).cast("int")), "rest")
+    # a group of no more than a block is one shell: its distances are used within the block
+    whole = rest.groupBy("hub").agg((F.count(F.lit(1)) <= BLOCK).alias("small"))
+    rest = rest.join(whole, "hub").withColumn("shell", F.when(F.col("small"), 0).otherwise(F.floor(F.col("distance") / SHELL)).cast("int")).drop("small")
+    rest = materialise(rest, "rest")
     if not rest.isEmpty():
         size = rest.groupBy("hub", "shell").agg(F.count(F.lit(1)).alias("m"), F.min("linked").alias("all_linked"))
         size = size.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
