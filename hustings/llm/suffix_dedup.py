@@ -243,10 +243,10 @@ def held(table: pa.Table) -> Held:
 
 
 def _runs(off: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of documents of about a third of a step each: a position has several words of 8 bytes here."""
+    """Runs of documents of about half a step each: a position has several words of 8 bytes here."""
     out, i = [], 0
     while i < len(off) - 1:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + STEP // 3, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + STEP // 2, side="right")) - 1)
         out.append((i, j))
         i = j
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes that one numpy step holds at once; a longer document is a step of its own.
-STEP = 3 << 20
+STEP = 3 << 19
 _BASE = U(0x9E3779B97F4A7C15)
 _pow: list[np.ndarray] = []
 
