@@ -5,7 +5,7 @@ Each stage gets what the one before kept, as a table read from Parquet, and call
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings.llm import decontaminate, exact_dedup, jaccard_join, packing, queries, toxicity
@@ -29,12 +29,25 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup (7): of equal texts the longest stays, then the least doc_id."""
-    return _of(docs, exact_dedup.exact_dedup(docs).filter("kept"), "left_semi")
+    """Exact dedup (7): of equal texts the longest stays, then the least doc_id; of repeated rows one stays."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept")
+    again = docs.groupBy(F.col("doc_id")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    if again.isEmpty():
+        return _of(docs, kept, "left_semi")
+    # rows that share a doc_id are told apart by their texts
+    named = kept.select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_sha"))
+    norm = F.translate(F.coalesce(F.col("text"), F.lit("")), exact_dedup.SPACES, "")
+    rows = _of(docs, again, "left_semi").withColumn("_sha", F.unhex(F.sha2(norm, 256)))
+    rows = rows.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    longest = Window.partitionBy("doc_id", "_sha").orderBy(F.length("text").desc_nulls_last())
+    rows = rows.withColumn("_place", F.row_number().over(longest)).filter("_place = 1").drop("_place", "_sha")
+    return _of(_of(docs, again, "left_anti"), kept, "left_semi").unionByName(rows)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (5), on five words and 0.8: of each component the least doc_id stays."""
+    """N-gram Jaccard join (5), on five words and 0.8: of each component the least doc_id stays.
+
+    Rows that share a doc_id, if their texts differ, stand or fall together from here on."""
     joined = jaccard_join.jaccard_join(docs, words=5, percent=80)
     return _of(docs, joined.filter("doc_id <=> component_id"), "left_semi")
 
