@@ -49,6 +49,13 @@ def test_each_stage_takes_effect(spark, tables):
     assert {r[0] for r in packed.select("doc_id").collect()} == kept
 
 
+def test_repeated_rows_go_with_the_copies(spark):
+    rows = [(1, "a b", 1), (1, "a b", 1), (1, "a  b", 2), (1, "other", 1), (2, "ab", 1), (None, "ab", 1), (3, None, 1), (4, "", 1)]
+    out = corpus_pipeline.exact_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([(1, "a  b", 2), (1, "other", 1), (3, None, 1)], key=str)
+
+
 def test_run_and_names(spark, tables):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and len(set(names)) == 5
