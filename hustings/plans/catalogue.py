@@ -390,15 +390,17 @@ _SIGNAL_SQL = f"""
           concat('ing the ones ', trim(regexp_replace(mid, '[^a-z0-9]+', ' ', 'g'))) AS variant FROM c),
     d AS (SELECT doc_id, {_MATCH_SQL.format(c='text')} AS x FROM documents),
     s AS (SELECT doc_id, leader_id, contains(x, variant) AS full_name, len(list_filter(surname, lambda k: contains(x, k))) > 0 AS surname, contains(x, 'ing') AS given, len(list_filter(commune, lambda k: contains(x, k))) > 0 AS commune,
-          contains(x, 'municipales') OR contains(x, 'maire') OR contains(x, 'mairie') OR contains(x, 'liste') AS election FROM d, m WHERE leader_id = doc_id % 25),
-    r AS (SELECT *, 5 * full_name::INT + 2 * surname::INT + given::INT + 2 * commune::INT + election::INT AS score FROM s),
-    f AS (SELECT *, full_name OR (surname AND given) OR (surname AND commune) OR (score >= 5 AND surname) AS is_match FROM r)
+          contains(x, 'municipales') OR contains(x, 'maire') OR contains(x, 'mairie') OR contains(x, 'liste') AS election FROM d, m),
+    r AS (SELECT *, 5 * full_name::INT + 2 * surname::INT + given::INT + 2 * commune::INT + election::INT AS score FROM s), w AS (SELECT * FROM r WHERE score > 0),
+    f AS (SELECT *, full_name OR (surname AND given) OR (surname AND commune) OR (score >= 5 AND surname) AS is_match FROM w)
 """
 
 
 def _signalled(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
     docs = t(spark, d, "documents").select("doc_id", text.normalize_match("text").alias("x"))
-    return docs.join(F.broadcast(match_terms(_cases(spark, d))), F.col("doc_id") % 25 == F.col("leader_id")), signals(F.col("x"))
+    s = signals(F.col("x"))
+    # containment has no key: the cohort, a nation each, is broadcast, and pairs without a signal don't leave the join
+    return docs.join(F.broadcast(match_terms(_cases(spark, d))), s.score > 0), s
 
 
 @query("match_score", _SIGNAL_SQL + "SELECT doc_id, leader_id, CAST(score AS BIGINT) AS score FROM f")
