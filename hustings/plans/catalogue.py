@@ -67,10 +67,10 @@ def _(spark, d):
     return t(spark, d, "customer").select("c_custkey", population().try_cast("bigint").alias("population"), size_bucket(population()).alias("bucket"))
 
 
-@query("rename_contract", "SELECT CAST(n_nationkey AS VARCHAR) AS commune_insee, n_name AS commune_name, CAST(n_regionkey AS VARCHAR) AS reg_code, CAST(NULL AS BIGINT) AS population FROM nation")
+@query("rename_contract", "SELECT CAST(n_nationkey AS VARCHAR) AS commune_insee, n_name AS commune_name, CAST(n_regionkey AS VARCHAR) AS reg_code, CAST(NULL AS VARCHAR) AS epci_name FROM nation")
 def _(spark, d):
     df = rename(t(spark, d, "nation"), {"n_nationkey": "commune_insee", "n_name": "commune_name", "n_regionkey": "reg_code", "absent": "nothing"})
-    return conform(df, "commune_insee string, commune_name string, reg_code string, population bigint")
+    return conform(df, "commune_insee string, commune_name string, reg_code string, epci_name string")
 
 
 @query("full_name_build", "SELECT c_custkey, trim(concat(c_name, ' ', coalesce(nullif(c_mktsegment, 'BUILDING'), ''))) AS full_name FROM customer")
@@ -406,7 +406,7 @@ def _signalled(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
 @query("match_score", _SIGNAL_SQL + "SELECT doc_id, leader_id, CAST(score AS BIGINT) AS score FROM f")
 def _(spark, d):
     df, s = _signalled(spark, d)
-    return df.select("doc_id", F.col("leader_id").cast("bigint").alias("leader_id"), s.score.cast("bigint").alias("score"))
+    return df.select("doc_id", "leader_id", s.score.cast("bigint").alias("score"))
 
 
 @query("match_decision", _SIGNAL_SQL + "SELECT doc_id, leader_id, is_match FROM f")
