@@ -165,9 +165,19 @@ def resolve(e: Entries) -> None:
         run_r = np.maximum.accumulate(np.where(same_r < WIDTH - x, index, 0))
         run_l = np.maximum.accumulate(np.where(same_l < x, index, 0))
         key = run_r[rank_r[rows]] * n + run_l[rank_l[rows]]
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        live[rows[order[1:][k[1:] == k[:-1]]], x] = False
+        m = len(rows)
+        if n * n * m < 1 << 63:
+            # places are sorted along with the keys: one sort of plain numbers
+            both = key * m + np.arange(m)
+            both.sort()
+            k = both // m
+            again = k[1:] == k[:-1]
+            later = both[1:][again] - k[1:][again] * m
+        else:
+            order = np.argsort(key, kind="stable")
+            k = key[order]
+            later = order[1:][k[1:] == k[:-1]]
+        live[rows[later], x] = False
     e.live[by_place] = live
 
 
@@ -303,25 +313,16 @@ def answer(table: pa.Table) -> pa.Table:
     )
 
 
-def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs (first, last) of sorted window starts."""
-    new = np.concatenate(([True], np.diff(starts) > 1))
-    return starts[new], starts[np.concatenate((new[1:], [True]))]
+def _runs_of(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of each run of set places in the rows."""
+    edge = np.diff(np.pad(windows, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
 
 
-def _marks(e: Entries, born: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, window start) of entries' windows that were live in ``born`` and no longer are."""
-    row, x = np.nonzero(born & ~e.live)
-    return e.doc[row], e.at[row] - x
-
-
-def _mark_blob(doc: np.ndarray, at: np.ndarray) -> bytes:
-    """Marked windows as runs, compressed."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (np.diff(at) > 1)))
-    last = np.concatenate((new[1:], [True]))
-    return zstandard.ZstdCompressor(level=1).compress(doc[new].astype("<i8").tobytes() + at[new].astype("<i8").tobytes() + at[last].astype("<i8").tobytes())
+def _mark_blob(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
+    """Runs of marked windows, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(doc.astype("<i8").tobytes() + first.astype("<i8").tobytes() + last.astype("<i8").tobytes())
 
 
 def send_windows(buckets: int):
@@ -359,15 +360,13 @@ def send_windows(buckets: int):
             return empty
         x = np.arange(SPREAD)[None, :]
         born = (x >= (at[e.key] - last[e.key])[:, None]) & (x <= (at[e.key] - first[e.key])[:, None])
-        doc, start = _marks(e, born)
-        if len(doc):
-            rows.append((sender % buckets, sender, True, _mark_blob(doc, start)))
+        row, low, high = _runs_of(born & ~e.live)
+        if len(row):
+            rows.append((sender % buckets, sender, True, _mark_blob(e.doc[row], e.at[row] - high, e.at[row] - low)))
         out = np.flatnonzero(shared[e.key] & e.live.any(axis=1))
         # runs of live windows of an entry, or single windows where the anchor is hot
         live = e.live[out]
-        edge = np.diff(np.pad(live, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, x_low = np.nonzero(edge == 1)
-        x_high = np.nonzero(edge == -1)[1] - 1
+        row, x_low, x_high = _runs_of(live)
         single = hot[e.key[out[row]]]
         more = np.where(single, x_high - x_low + 1, 1)
         row, base = np.repeat(row, more), np.repeat(x_low, more)
@@ -425,11 +424,12 @@ def compare(table: pa.Table) -> pa.Table:
     out_sender, out_blob = [senders[int(i)] for i in np.flatnonzero(done)], [blobs[int(i)].as_py() for i in np.flatnonzero(done)]
     for e in family.levels:
         x, low, high, sender = np.arange(SPREAD)[None, :], np.concatenate(lows)[e.key], np.concatenate(highs)[e.key], np.concatenate(who)[e.key]
-        row, col = np.nonzero((x >= low[:, None]) & (x <= high[:, None]) & ~e.live)
-        doc, start, to = e.doc[row], e.at[row] - col, sender[row]
+        row, near, far = _runs_of((x >= low[:, None]) & (x <= high[:, None]) & ~e.live)
+        doc, first, last, to = e.doc[row], e.at[row] - far, e.at[row] - near, sender[row]
         for s in np.unique(to):
+            mine = to == s
             out_sender.append(int(s))
-            out_blob.append(_mark_blob(doc[to == s], start[to == s]))
+            out_blob.append(_mark_blob(doc[mine], first[mine], last[mine]))
     return pa.table([pa.array(out_sender, pa.int32()), pa.array(out_blob, pa.binary())], names=["sender", "blob"])
 
 
