@@ -6,7 +6,7 @@ are, rare ones first by hash, so two similar sets share one of their first few (
 * Index lists. Prefixes are dealt by shingle; a list is sorted by set size, with the place of the shingle in
   each set. Blocks of a list whose sizes or places leave too little for the required overlap are skipped.
   Pairs left are held against each other's counts in ``CELLS`` parts of the hash range, a bound of the overlap,
-  and only then against the sets themselves.
+  and only then against the sets themselves. Groups of a long list are first cut by the same counts into families.
 * Answers from answers. A long list, that of a shingle common to a large group, is not paired. Its members are
   compared with a pivot, the list's least class. Jaccard distance is a metric: members that the pivot links are
   connected through it and need no comparison with each other, and of all others only those can be similar whose
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.components import components
+from hustings.llm.components import _least, components
 from hustings.llm.encode import forget
 from hustings.llm.store import materialise, partitions, whole_texts
 from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, word_bounds, word_hashes
@@ -251,12 +251,43 @@ def _bound(percent: int):
             low = np.minimum(a, b)
             # a cell that is full in both may hold any number
             most = np.where(((a == 255) & (b == 255)).any(axis=1), np.minimum(na, nb), low.sum(axis=1))
-            keep = (most >= needed(na, nb, percent)) | (batch["kind"].to_numpy() == 1)
+            keep = most >= needed(na, nb, percent)
             yield batch.filter(pa.array(keep)).select(["hub", "node", "kind"])
 
     return run
 
 
+def _families(percent: int):
+    """Groups of a pivot that are small enough, cut into what their counts by cell leave connected: each family has
+    its least class for a pivot, and members that no other can be similar to leave."""
+
+    def run(table: pa.Table) -> pa.Table:
+        forget()
+        table = table.sort_by([("hub", "ascending"), ("n", "ascending")])
+        hub, node, n = (table[c].to_numpy() for c in ("hub", "node", "n"))
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32)
+        edges = np.flatnonzero(np.concatenate(([True], hub[1:] != hub[:-1], [True])))
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            first, second = [], []
+            for i in range(a, b - 1):
+                # larger sets come later, those beyond the size bound are a run at the end
+                stop = i + 1 + int(np.searchsorted(n[i + 1 : b], 100 * n[i] // percent, side="right"))
+                rest = slice(i + 1, stop)
+                most = np.minimum(cells[i], cells[rest]).sum(axis=1)
+                full = ((cells[i] == 255) & (cells[rest] == 255)).any(axis=1)
+                j = np.flatnonzero(full | (most >= needed(n[i], n[rest], percent)))
+                first.append(np.full(len(j), node[i]))
+                second.append(node[i + 1 + j])
+            if first and sum(map(len, first)):
+                members, least = _least(np.concatenate(first), np.concatenate(second))
+                found.append(np.stack((least, members), axis=1)[members != least])
+        rows = np.unique(np.concatenate(found), axis=0)
+        return pa.table([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(np.ones(len(rows), np.int8))], names=["hub", "node", "kind"])
+
+    return run
+
+
 def _overlap(big: np.ndarray, small: np.ndarray) -> int:
     i = np.searchsorted(big, small)
     return int((big[np.minimum(i, len(big) - 1)] == small).sum()) if len(big) and len(small) else 0
@@ -371,8 +402,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     members = at_hot.join(F.broadcast(pivots), "shingle").filter("hub <> node").select("hub", "node", F.lit(1).cast("byte").alias("kind"))
     pairs = listed.filter("hub <> node").unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
 
-    sized = pairs.join(cells.select(F.col("node").alias("hub"), F.col("n").alias("na"), F.col("cells").alias("cells_a")), "hub").join(cells.select("node", F.col("n").alias("nb"), F.col("cells").alias("cells_b")), "node")
-    asked = materialise(sized.mapInArrow(_bound(percent), "hub long, node long, kind byte"), "pairs")
+    pairs = materialise(pairs, "candidates")
+    sized = pairs.filter("kind = 0").join(cells.select(F.col("node").alias("hub"), F.col("n").alias("na"), F.col("cells").alias("cells_a")), "hub").join(cells.select("node", F.col("n").alias("nb"), F.col("cells").alias("cells_b")), "node")
+    likely = sized.mapInArrow(_bound(percent), "hub long, node long, kind byte")
+    groups = pairs.filter("kind = 1")
+    size = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    large = groups.join(size.filter(F.col("size") > BLOCK), "hub", "left_semi")
+    small = size.filter(F.col("size") <= BLOCK).select("hub")
+    members = groups.join(small, "hub", "left_semi").select("hub", "node").unionByName(small.select("hub", F.col("hub").alias("node")))
+    families = members.join(cells, "node").groupBy(F.pmod(F.xxhash64("hub"), F.lit(BUCKETS * n)).alias("bucket")).applyInArrow(_families(percent), "hub long, node long, kind byte")
+    asked = materialise(likely.unionByName(large).unionByName(families).groupBy("hub", "node").agg(F.max("kind").alias("kind")), "pairs")
     # a group is dealt in parts of about a block, each with the hub
     parts = asked.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     dealt_out = asked.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
