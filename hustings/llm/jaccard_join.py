@@ -34,7 +34,7 @@ from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, word_
 
 #: Words of a shingle, and the similarity in hundredths.
 WORDS, PERCENT = 4, 85
-CELLS = 32
+CELLS = 128
 #: Shingles that have a place of their own in the order, at most; each costs 8 bytes of a broadcast.
 COMMON = 1 << 18
 #: A shingle in more different sets of one task than this is counted as a common one.
@@ -101,7 +101,7 @@ def _signatures(words: int, percent: int, common: np.ndarray):
                 place = np.zeros(len(s), np.int64)
             order = np.lexsort((s, place, doc))
             p = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            cells = np.bincount(doc * CELLS + (s >> U(59)).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS)
+            cells = np.bincount(doc * CELLS + (s >> U(65 - CELLS.bit_length())).astype(np.int64), minlength=len(n) * CELLS).reshape(-1, CELLS)
             # 255 stands for any larger count, see _bound
             cells = np.minimum(cells, 255).astype(np.uint8)
             a, b = mix(s + U(1)), mix(s ^ U(0xA5A5A5A5A5A5A5A5))
