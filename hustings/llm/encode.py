@@ -19,7 +19,7 @@ from array import array
 import pyarrow as pa
 
 #: Pieces that a worker keeps.
-KEPT = 400_000
+KEPT = 600_000
 _after_word = re.compile(r"(?<=\S) ")
 #: White space beside the space and the line end, and where those two stand together.
 _unusual = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["  ", "\n\n", " \n", "\n "]

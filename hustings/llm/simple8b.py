@@ -23,8 +23,12 @@ def _lengths(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, v = len(v), v.astype(np.uint32)
     best = np.full(n, len(FIELDS) - 1, np.uint8)
     open_ = np.ones(n, bool)
+    # words of 8 ids and more have at most an escape for each 8, so they hold 8 ids in a row with one escape
+    few = np.zeros(n + 1, np.int32)
+    np.cumsum(v >= np.uint32(127), out=few[1:], dtype=np.int32)
+    dense = n >= 8 and bool((few[8:] - few[:-8] <= 1).any())
     for s, (count, bits) in enumerate(FIELDS[:-1]):
-        if count > n:
+        if count > n or (count >= 8 and not dense):
             continue
         # escapes cost 4 bytes each, so a word may have one for each 8 ids, or one of 5 to 7
         allowed = count // 8 if count >= 8 else int(count >= 5)

@@ -21,7 +21,7 @@ from hustings.llm.store import partitions, whole_texts
 from hustings.llm.textops import steps
 
 #: Ids after which a block ends with its document.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 def range_edges(docs: DataFrame, shards: int) -> list[float]:
