@@ -294,8 +294,9 @@ def test_stream_drops_repeats(spark, tmp_path):
     articles.run_once(articles.counts_by_window(hits), str(tmp_path / "w"), str(tmp_path / "cp2"))
 
 
-def test_command_line_fails_with_one(capsys):
+def test_command_line_fails_with_one(spark, capsys, monkeypatch, tmp_path):
     from hustings.__main__ import main
 
+    monkeypatch.setenv("WAREHOUSE_PATH", str(tmp_path / "w"))
     assert main(["sample", "--sources", "/nowhere", "--out", "/tmp/hustings-none"]) == 1
     assert "failed" in capsys.readouterr().err
