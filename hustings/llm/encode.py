@@ -18,7 +18,7 @@ from array import array
 
 import pyarrow as pa
 
-#: Pieces that a worker keeps.
+#: Pieces that a worker keeps, about 180 bytes each.
 KEPT = 600_000
 _after_word = re.compile(r"(?<=\S) ")
 #: White space beside the space and the line end, and where those two stand together.
@@ -35,19 +35,19 @@ _encoders: dict[str, Encoder] = {}
 class Pieces(dict):
     """Ids by piece; a piece that is not held is encoded when it is asked for."""
 
-    def __init__(self, learn):
+    def __init__(self, learn, most: int):
         super().__init__()
-        self.learn = learn
+        self.learn, self.most = learn, most
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > KEPT:
+        if len(self) > self.most:
             self.clear()
         ids = self[piece] = self.learn(piece)
         return ids
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,8 +62,8 @@ class Encoder:
         self.kind = "spaced" if spaced else "worded" if worded else "whole"
         self.tokenize = self.model.model.tokenize
         self.line = self._ids("\n")
-        self.first = Pieces(lambda p: self._learn(p, ""))
-        self.later = Pieces(lambda p: self._learn(p, " " if spaced else ""))
+        self.first = Pieces(lambda p: self._learn(p, ""), kept)
+        self.later = Pieces(lambda p: self._learn(p, " " if spaced else ""), kept)
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
@@ -117,10 +117,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """The worker's encoder of a file; workers are reused, so most tasks find it filled."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, kept)
     return _encoders[path]
 
 

@@ -49,8 +49,9 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, U), np.zeros(0, "<u4")
     best, step = _lengths(v)
     jump, starts, i = step.tolist(), [], 0
+    add = starts.append
     while i < n:
-        starts.append(i)
+        add(i)
         i += jump[i]
     at = np.array(starts)
     words = best[at].astype(U)

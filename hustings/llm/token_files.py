@@ -20,6 +20,8 @@ from hustings.llm.simple8b import block, read_block
 from hustings.llm.store import partitions, whole_texts
 from hustings.llm.textops import steps
 
+#: Pieces that a worker keeps here.
+KEPT = 1_200_000
 #: Ids after which a block ends with its document.
 BLOCK = 1 << 14
 
@@ -41,7 +43,7 @@ def _encode(path: str, end_id: int, edges: list[float]):
     bounds = np.array(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, KEPT), np.array([end_id], "<u4").tobytes()
         for part, _, _ in steps(batches):
             ids = [x + end for x in enc.encode(part["text"].to_pylist())]
             narrow = [_narrow(x) for x in ids]
