@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,17 +43,60 @@ def framing(facts: DataFrame, frames: Iterable[str]) -> DataFrame:
     return facts.groupBy("leader_id").agg(F.count(F.lit(1)).alias("mentions"), *[F.avg(f).alias(f) for f in frames])
 
 
-def cosine(a: str, b: str):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
-
-
-def embedding_pairs(vectors: DataFrame, block: str, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Pairs of vectors of one block whose cosine is ``least`` or more. A block is a bounded candidate group of the
-    caller's (a day, a bucket of hashes), so the join has a key."""
-    a = vectors.select(F.col(key).alias("a"), F.col(vector).alias("va"), block)
-    b = vectors.select(F.col(key).alias("b"), F.col(vector).alias("vb"), block)
-    return a.join(b, block).filter("a < b").withColumn("similarity", cosine("va", "vb")).filter(F.col("similarity") >= least).select("a", "b", "similarity")
+#: Vectors of a tile: a task holds two tiles, and every vector travels once for each tile.
+TILE = 16_384
+#: Cells of the product that a task works out at once.
+CELLS = 1 << 21
+
+
+def _tile_pairs(least: float):
+    def vectors(column: pa.ChunkedArray) -> np.ndarray:
+        lists = column.combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        key = table.schema.field("id").type
+        ids, tile, v = table["id"].to_numpy(), table["tile"].to_numpy(), vectors(table["v"])
+        norm = np.sqrt((v * v).sum(axis=1))
+        finite = (norm > 0) & np.isfinite(norm)
+        ids, tile, v, norm = ids[finite], tile[finite], v[finite], norm[finite]
+        own = len(ids) == 0 or tile.min() == tile.max()
+        if own and table["lo"][0].as_py() != table["hi"][0].as_py():
+            return  # the other tile has no vectors
+        left = np.arange(len(ids)) if own else np.flatnonzero(tile == tile.min())
+        right = left if own else np.flatnonzero(tile == tile.max())
+        step = max(1, CELLS // max(1, len(right)))
+        for k in range(0, len(left), step):
+            rows = left[k : k + step]
+            similarity = (v[rows] @ v[right].T) / (norm[rows, None] * norm[right])
+            i, j = np.nonzero(similarity >= least)
+            x, y, near = ids[rows[i]], ids[right[j]], similarity[i, j]
+            # within a tile every pair is seen from both sides
+            keep = x < y if own else x != y
+            x, y, near = x[keep], y[keep], near[keep]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(x < y, x, y), key), pa.array(np.where(x < y, y, x), key), pa.array(near)], ["a", "b", "similarity"])
+
+    return run
+
+
+def embedding_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """All pairs (a < b) of vectors whose cosine is ``least`` or more, of any label: every pair is compared.
+
+    At a low threshold bands of signs rule out little (0.9 of the pairs at 0.3 would take some 140 bands of 8 signs),
+    so the product is taken whole, in pairs of tiles. Null keys and vectors that are null, empty, zero, not
+    finite or have a null are in no pair; vectors of different lengths have no cosine.
+    """
+    usable = F.col(key).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    rows = vectors.filter(usable).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dims"))
+    tiles = max(1, math.ceil(rows.count() / TILE))
+    own = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    dealt = rows.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    dealt = dealt.select("dims", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "id", "tile", "v")
+    kind = vectors.schema[key].dataType.simpleString()
+    return dealt.groupBy("dims", "lo", "hi").applyInArrow(_tile_pairs(least), f"a {kind}, b {kind}, similarity double")
 
 
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
