@@ -83,19 +83,27 @@ def find(text: bytes, notice: Notice) -> list[tuple[int, int, int]]:
         while at >= 0:
             spots.append(at - place)
             at = text.find(part, at + 1)
-    found, upto = [], -1
-    for spot in sorted(spots):
-        lo, hi = max(0, spot - notice.edits), spot + len(notice.phrase) + notice.edits
-        if lo < upto:
-            continue
-        for m in _compiled(notice).finditer(text, max(lo - 1, 0), min(len(text), hi + 1)):
-            inner = (m.start() == 0 or text[m.start() - 1] == 32) and (m.end() == len(text) or text[m.end()] == 32)
-            if inner and m.start() >= upto:
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                upto = m.end()
+    found, upto = [], 0
+    for spot in sorted(set(spots)):
+        # words between that an occurrence around this seed can't leave; where the last one ended, the next may begin
+        lo, hi = max(upto, spot - notice.edits), min(len(text), spot + len(notice.phrase) + notice.edits)
+        if lo and text[lo - 1] != 32:
+            lo = text.find(b" ", lo) + 1 or len(text)
+        if hi < len(text) and text[hi] != 32:
+            hi = text.rfind(b" ", 0, hi)
+        if within := _within(text, notice, lo, hi):
+            found += within
+            upto = within[-1][1]
     return found
 
 
+def _within(text: bytes, notice: Notice, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """The best match between two word bounds, with those before and after it."""
+    if hi - lo < len(notice.phrase) - notice.edits or not (m := _compiled(notice).search(text, lo, hi)):
+        return []
+    return [*_within(text, notice, lo, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts)), *_within(text, notice, m.end(), hi)]
+
+
 ROW = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
 

@@ -1,7 +1,11 @@
 """Queries that once did less than the whole job, against brute force without blocks or subsets."""
 
+import random
+
 import numpy as np
+import pytest
 
+from hustings.llm import license_scan
 from hustings.operators import marts
 from hustings.plans import catalogue
 
@@ -33,3 +37,40 @@ def test_embedding_pairs_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, marts.embedding_pairs(df, 0.9).collect())) == [(1, 2, 1.0), (1, 2, 1.0), (7, 8, 1.0)]
     assert marts.embedding_pairs(df.limit(0), 0.9).count() == 0
+
+
+def fewest_edits(text, phrase):
+    """Of every run of whole words the edits to the phrase, by the plain table: {(start, end): edits}."""
+    out = {}
+    for a in range(len(text)):
+        if a and text[a - 1] != 32:
+            continue
+        row = list(range(len(phrase) + 1))
+        for b in range(a, min(len(text), a + len(phrase) + 10)):
+            new = [b - a + 1]
+            for j, c in enumerate(phrase):
+                new.append(min(row[j] + (text[b] != c), row[j + 1] + 1, new[-1] + 1))
+            row = new
+            if b + 1 == len(text) or text[b + 1] == 32:
+                out[a, b + 1] = row[-1]
+    return out
+
+
+@pytest.mark.parametrize("notice", [n for n in license_scan.FUZZY if n.edits], ids=lambda n: n.phrase[:20])
+def test_repeated_notices_are_all_found(notice):
+    rnd = random.Random(3)
+    for edited in ((), (0,), (1,), (0, 2), (0, 1, 2)):
+        copies = []
+        for k in range(3):
+            s = list(notice.phrase)
+            for i in rnd.sample([i for i in range(2, len(s) - 2) if s[i] != " "], notice.edits if k in edited else 0):
+                s[i] = "q"
+            copies.append("".join(s).encode())
+        for text in (b" ".join(copies), b"so " + b" and ".join(copies) + b" end"):
+            got = license_scan.find(text, notice)
+            scores = fewest_edits(text, notice.phrase.encode())
+            assert len(got) == 3 and all(scores[s, e] == n for s, e, n in got), (text, got)
+            # no run of words that overlaps one found notice only is closer
+            for (a, b), v in scores.items():
+                near = [n for s, e, n in got if a < e and s < b]
+                assert len(near) != 1 or near[0] <= v
