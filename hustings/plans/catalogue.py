@@ -448,8 +448,9 @@ _SORTED_SQL = "array_to_string(list_sort(string_split({c}, ' ')), ' ')"
 )
 def _(spark, d):
     n = t(spark, d, "part").select(F.col("p_brand").alias("commune_insee"), F.col("p_name").alias("full_name"), "p_size").distinct()
-    known = n.filter("p_size > 45").select("commune_insee", text.normalize_name("full_name").alias("incumbent_name")).distinct()
-    return match_incumbents(n.filter("p_size < 5"), known).select("commune_insee", "full_name", "p_size", "is_incumbent", F.round("incumbent_match_score", 6).alias("score"), "incumbent_match_auditable")
+    # the SQL takes parts by size as leaders and as incumbents; here each is all parts of the brand
+    known = n.select("commune_insee", text.normalize_name("full_name").alias("incumbent_name")).distinct()
+    return match_incumbents(n, known).select("commune_insee", "full_name", "p_size", "is_incumbent", F.round("incumbent_match_score", 6).alias("score"), "incumbent_match_auditable")
 
 
 # --- URLs and pages --------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from hustings.llm import license_scan
-from hustings.operators import marts
+from hustings.operators import dims, marts
 from hustings.plans import catalogue
 
 
@@ -74,3 +74,35 @@ def test_repeated_notices_are_all_found(notice):
             for (a, b), v in scores.items():
                 near = [n for s, e, n in got if a < e and s < b]
                 assert len(near) != 1 or near[0] <= v
+
+
+def ratio(a, b):
+    """200 x longest common subsequence of the sorted words over both lengths."""
+    a, b = (" ".join(sorted(x.split())) for x in (a, b))
+    row = [0] * (len(b) + 1)
+    for c in a:
+        new = [0]
+        for j, d in enumerate(b):
+            new.append(row[j] + 1 if c == d else max(row[j + 1], new[-1]))
+        row = new
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def test_incumbent_match_takes_all_parts(spark, sf):
+    parts = {(r["p_brand"], r["p_name"], r["p_size"]) for r in catalogue.t(spark, sf, "part").collect()}
+    want = []
+    for brand, name, size in parts:
+        score = max(ratio(name.upper(), other.upper()) for b, other, _ in parts if b == brand)
+        want.append((brand, name, size, score >= 85, round(score, 6), score < 100))
+    assert sorted(map(tuple, catalogue.QUERIES["incumbent_match"](spark, sf).collect())) == sorted(want)
+
+
+def test_incumbents_of_other_names_against_brute_force(spark):
+    names = ["SMALL RING", "RING SMAL", "COLD GIZMO", "HOT BOLT", "NEW BOLTS"]
+    known = [("1", "SMALL RINGS"), ("1", "GIZMOS COLD"), ("2", "HOT BELT"), ("2", "BOLT NEW")]
+    leaders = spark.createDataFrame([(c, n) for c in "12" for n in names], "commune_insee string, full_name string")
+    got = dims.match_incumbents(leaders, spark.createDataFrame(known, "commune_insee string, incumbent_name string")).collect()
+    for r in got:
+        score = max(ratio(r["full_name"], n) for c, n in known if c == r["commune_insee"])
+        assert abs(r["incumbent_match_score"] - score) < 1e-9 and r["is_incumbent"] is (score >= 85) and r["incumbent_match_auditable"] is (score < 100)
+    assert len(got) == 10 and {r["is_incumbent"] for r in got} == {True, False}
