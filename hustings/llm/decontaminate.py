@@ -6,7 +6,8 @@ Every passage of every training text (``PASSAGE`` words, half of them shared wit
 all items from 1 on are retrieved: passages whose terms' largest scores don't add up to 1 are passed over
 all at once, the rest run through WAND, which moves past items, and blocks of them, that can't get there.
 A retrieved item is verified on the whole text: the share of its distinct runs of ``SHINGLE`` words, of its
-question and of its answer (its last sentence), that the text has.
+question and of its answer (its last sentence), that the text has. Items of fewer words than a shingle are
+looked for as they stand, word for word.
 """
 
 from __future__ import annotations
@@ -51,6 +52,7 @@ class Index:
     owner: np.ndarray  # item place of each
     in_answer: np.ndarray
     totals: np.ndarray  # distinct shingles of each item: question, answer
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by number of words below SHINGLE: sorted hashes of whole items, their places, their words
 
     @property
     def sieve(self) -> np.ndarray:
@@ -73,7 +75,7 @@ def split_answer(text: str) -> tuple[str, str]:
 
 
 def build(items: list[tuple[int, str]]) -> Index:
-    """The index of (item_id, text) rows; items of fewer words than a shingle can't be matched."""
+    """The index of (item_id, text) rows; items of fewer words than a shingle are kept whole, outside the lists."""
     ids, texts = [i for i, _ in items], [t or "" for _, t in items]
     n = len(items)
     h, doc = _hashed(texts)
@@ -107,8 +109,38 @@ def build(items: list[tuple[int, str]]) -> Index:
     s5, d5, tail = s5[order], d5[order], tail[order]
     new = np.concatenate(([True], (s5[1:] != s5[:-1]) | (d5[1:] != d5[:-1]))) if len(s5) else np.zeros(0, bool)
     s5, d5, tail = s5[new], d5[new], tail[new]
+    short = {}
+    first = np.concatenate(([0], np.cumsum(words)))
+    for m in range(1, SHINGLE):
+        if len(of := np.flatnonzero(words == m)):
+            runs = h[first[of][:, None] + np.arange(m)]
+            whole = shingle_hashes(runs.ravel(), np.repeat(np.arange(len(of)), m), m, len(of))[0]
+            order = np.argsort(whole, kind="stable")
+            short[m] = whole[order], of[order], runs[order]
+            # the one run of such an item is the answer's if its last word is
+            last = m > np.array(question)[of]
+            d5, tail, s5 = np.append(d5, of), np.append(tail, last), np.append(s5, whole)
     totals = np.stack((np.bincount(d5, weights=~tail, minlength=n), np.bincount(d5, weights=tail, minlength=n)), axis=1)
-    return Index(np.array(ids), terms, starts, place, score, most, block_starts, block_most, s5, d5, tail, totals)
+    listed = words[d5] >= SHINGLE if len(d5) else np.zeros(0, bool)
+    return Index(np.array(ids), terms, starts, place, score, most, block_starts, block_most, s5[listed], d5[listed], tail[listed], totals, short)
+
+
+def short_items(index: Index, h: np.ndarray, doc: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+    """(document, item place) of the items below SHINGLE words that stand in a document word for word."""
+    found = set()
+    for m, (hashes, places, runs) in index.short.items():
+        s, d = shingle_hashes(h, doc, m, len(first) - 1)
+        lo, hi = np.searchsorted(hashes, s), np.searchsorted(hashes, s, side="right")
+        at = np.flatnonzero(hi > lo)
+        start = first[d[at]] + at - np.searchsorted(d, d[at])
+        fits = start + m <= first[d[at] + 1]
+        at, start = at[fits], start[fits]
+        # one place of each hash in a document is enough
+        _, one = np.unique(np.stack((d[at], lo[at]), axis=1), axis=0, return_index=True)
+        for k in one:
+            same = [j for j in range(lo[at[k]], hi[at[k]]) if (runs[j] == h[start[k] : start[k] + m]).all()]
+            found |= {(int(d[at[k]]), int(places[j])) for j in same}
+    return found
 
 
 def wand(index: Index, terms: np.ndarray) -> list[tuple[int, float]]:
@@ -156,46 +188,55 @@ def wand(index: Index, terms: np.ndarray) -> list[tuple[int, float]]:
     return found
 
 
+def retrieved(index: Index, h: np.ndarray, doc: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], float]:
+    """Best score of each (document, item place) that a passage reaches."""
+    n, half, mask = len(first) - 1, PASSAGE // 2, U((1 << SIEVE) - 1)
+    if len(h) < SHINGLE or not len(index.terms):
+        return {}
+    s, d = shingle_hashes(h, doc, TERM, n)
+    base = np.searchsorted(d, np.arange(n))
+    maybe = np.flatnonzero(index.sieve[(s & mask).astype(np.int64)])
+    t = np.minimum(np.searchsorted(index.terms, s[maybe]), len(index.terms) - 1)
+    real = index.terms[t] == s[maybe]
+    at, t = maybe[real], t[real]
+    if not len(at):
+        return {}
+    place = at - base[d[at]]
+    # a term is in the passage of its half and in the one before
+    per_doc = np.diff(first) // half + 1
+    offset = np.concatenate(([0], np.cumsum(per_doc)))
+    p = offset[d[at]] + place // half
+    again = place >= half
+    q, t2 = np.concatenate((p, p[again] - 1)), np.concatenate((t, t[again]))
+    key = np.unique(np.stack((q, t2), axis=1), axis=0)
+    passages, begin = np.unique(key[:, 0], return_index=True)
+    bound = np.add.reduceat(index.most[key[:, 1]], begin)
+    best: dict[tuple[int, int], float] = {}
+    ends = np.append(begin[1:], len(key))
+    for k in np.flatnonzero(bound >= 1 - 1e-9):
+        row = int(np.searchsorted(offset, passages[k], side="right")) - 1
+        for item, score in wand(index, key[begin[k] : ends[k], 1]):
+            best[row, item] = max(best.get((row, item), 0.0), score)
+    return best
+
+
 HITS = "doc_id long, item_id long, bm25 double, overlap double, question_overlap double, answer_overlap double"
 
 
 def _retrieve(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        half, mask = PASSAGE // 2, U((1 << SIEVE) - 1)
         for part, data, off in steps(batches):
             n = part.num_rows
             start, end, doc = word_bounds(data, off, ALNUM)
             h = word_hashes(data, start, end)
             first = np.searchsorted(doc, np.arange(n + 1))
-            if len(h) < SHINGLE or not len(index.terms):
-                continue
-            s, d = shingle_hashes(h, doc, TERM, n)
-            base = np.searchsorted(d, np.arange(n))
-            maybe = np.flatnonzero(index.sieve[(s & mask).astype(np.int64)])
-            t = np.minimum(np.searchsorted(index.terms, s[maybe]), len(index.terms) - 1)
-            real = index.terms[t] == s[maybe]
-            at, t = maybe[real], t[real]
-            if not len(at):
-                continue
-            place = at - base[d[at]]
-            # a term is in the passage of its half and in the one before
-            per_doc = np.diff(first) // half + 1
-            offset = np.concatenate(([0], np.cumsum(per_doc)))
-            p = offset[d[at]] + place // half
-            again = place >= half
-            q, t2 = np.concatenate((p, p[again] - 1)), np.concatenate((t, t[again]))
-            key = np.unique(np.stack((q, t2), axis=1), axis=0)
-            passages, begin = np.unique(key[:, 0], return_index=True)
-            bound = np.add.reduceat(index.most[key[:, 1]], begin)
-            best: dict[tuple[int, int], float] = {}
-            ends = np.append(begin[1:], len(key))
-            for k in np.flatnonzero(bound >= 1 - 1e-9):
-                row = int(np.searchsorted(offset, passages[k], side="right")) - 1
-                for item, score in wand(index, key[begin[k] : ends[k], 1]):
-                    best[row, item] = max(best.get((row, item), 0.0), score)
-            rows = []
             doc_ids = part["doc_id"].to_pylist()
+            rows = []
+            for row, item in sorted(short_items(index, h, doc, first)):
+                # the whole item: its score against itself, all of its words
+                rows.append((doc_ids[row], int(index.items[item]), 1 / REACH, 1.0, *[1.0 if m else None for m in index.totals[item]]))
+            best = retrieved(index, h, doc, first)
             for row in sorted({r for r, _ in best}):
                 own = np.unique(shingle_hashes(h[first[row] : first[row + 1]], np.zeros(first[row + 1] - first[row], np.int64), SHINGLE, 1)[0])
                 lo, hi = np.searchsorted(index.shingles, own), np.searchsorted(index.shingles, own, side="right")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from hustings.llm import license_scan
+from hustings.llm import decontaminate, license_scan
 from hustings.operators import dims, marts
 from hustings.plans import catalogue
 
@@ -106,3 +106,13 @@ def test_incumbents_of_other_names_against_brute_force(spark):
         score = max(ratio(r["full_name"], n) for c, n in known if c == r["commune_insee"])
         assert abs(r["incumbent_match_score"] - score) < 1e-9 and r["is_incumbent"] is (score >= 85) and r["incumbent_match_auditable"] is (score < 100)
     assert len(got) == 10 and {r["is_incumbent"] for r in got} == {True, False}
+
+
+def test_short_benchmark_items_are_found(spark):
+    items = [(1, "Forty-two"), (2, "Paris."), (3, "who wrote it"), (4, "Name it. Oslo"), (5, "forty two"), (6, "to be or not to be that is"), (7, None)]
+    docs = [(10, "the answer is forty two, he said"), (11, "PARIS"), (12, "forty and two; who wrote that"), (13, "so name it: oslo"), (14, "well to be or not to be that is"), (15, None), (16, "parish"), (17, "end name it"), (18, "oslo who wrote"), (19, "it paris")]
+    made = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["question_overlap"], r["answer_overlap"]) for r in decontaminate.contaminated(*made).collect()}
+    assert set(got) == {(10, 1), (10, 5), (11, 2), (13, 4), (14, 6), (19, 2)}
+    assert got[10, 1] == (1.0, 1.0, None) and got[13, 4] == (1.0, None, 1.0)
+    assert {r["doc_id"]: r["n_items"] for r in decontaminate.decontaminate(*made).collect() if r["contaminated"]} == {10: 2, 11: 1, 13: 1, 14: 1, 19: 1}
