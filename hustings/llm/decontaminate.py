@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm.encode import forget
-from hustings.llm.store import whole_texts
+from hustings.llm.store import scratch, ship, whole_texts
 from hustings.llm.textops import ALNUM, U, shingle_hashes, steps, text_bytes, word_bounds, word_hashes
 
 TERM, SHINGLE = 3, 5
@@ -74,8 +74,21 @@ def split_answer(text: str) -> tuple[str, str]:
     return (text[: cut[-1]], text[cut[-1] :]) if cut else (text, "")
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """The index of (item_id, text) rows; items of fewer words than a shingle are kept whole, outside the lists."""
+@dataclass
+class Whole:
+    """What the scores of a shard take from the whole benchmark: its items and their mean length, both without those below SHINGLE
+    words, and in how many of them each term is that other shards have too (sorted)."""
+
+    n: int
+    average: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build(items: list[tuple[int, str]], whole: Whole | None = None) -> Index:
+    """The index of (item_id, text) rows; items of fewer words than a shingle are kept whole, outside the lists.
+
+    Scores are those of ``whole``'s benchmark, of which the items are a part; without it the items are all."""
     ids, texts = [i for i, _ in items], [t or "" for _, t in items]
     n = len(items)
     h, doc = _hashed(texts)
@@ -88,7 +101,12 @@ def build(items: list[tuple[int, str]]) -> Index:
     place = pairs[:, 1].astype(np.int64)
     length = np.maximum(words - TERM + 1, 1)
     average = float(length[usable].mean()) if usable.any() else 1.0
-    idf = np.log(1 + (max(1, int(usable.sum())) - df + 0.5) / (df + 0.5))
+    count, known = int(usable.sum()), df
+    if whole:
+        count, average, known = whole.n, whole.average, df.copy()
+        _, mine, theirs = np.intersect1d(terms, whole.terms, assume_unique=True, return_indices=True)
+        known[mine] = whole.df[theirs]
+    idf = np.log(1 + (max(1, count) - known + 0.5) / (known + 0.5))
     score = idf[inverse] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[place] / average))
     own = np.bincount(place, weights=score, minlength=n)
     least = REACH * own * np.minimum(1, PASSAGE / 2 / np.maximum(words, 1))
@@ -254,19 +272,55 @@ def _retrieve(index: Index):
     return run
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, n, length) of every item's terms, once each; term null: the items and the sum of their lengths."""
+    for part in batches:
+        h, doc = _hashed(part["text"].to_pylist())
+        words = np.bincount(doc, minlength=part.num_rows)
+        usable = words >= SHINGLE
+        keep = usable[doc] if len(doc) else np.zeros(0, bool)
+        s, d = shingle_hashes(h[keep], doc[keep], TERM, part.num_rows)
+        pairs = np.unique(np.stack((s, d.astype(U)), axis=1), axis=0) if len(s) else np.zeros((0, 2), U)
+        shard = part["shard"].to_numpy()[pairs[:, 1].astype(np.int64)]
+        terms = pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64))
+        ones, none = pa.array(np.ones(len(pairs), np.int64)), pa.array(np.zeros(len(pairs), np.int64))
+        names = ["shard", "term", "n", "length"]
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), terms, ones, none], names)
+        length = int(np.maximum(words - TERM + 1, 1)[usable].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([int(usable.sum())], pa.int64()), pa.array([length], pa.int64())], names)
+
+
+def _wholes(items: DataFrame, shards: int) -> Iterator[Whole]:
+    """Each shard's ``Whole``; counted on the executors, the driver gets a shard's terms that others have too."""
+    spark = items.sparkSession
+    ship(spark)
+    rows = items.select("shard", "text").mapInArrow(_item_terms, "shard int, term long, n long, length long")
+    n, length = rows.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    by_shard = rows.filter("term IS NOT NULL").groupBy("term", "shard").agg(F.sum("n").alias("n"))
+    shared = by_shard.groupBy("term").agg(F.sum("n").alias("df"), F.collect_list("shard").alias("shard")).filter(F.size("shard") > 1)
+    path = scratch(spark, "terms")
+    shared.select("term", "df", F.explode("shard").alias("shard")).write.parquet(path)
+    for k in range(shards):
+        got = spark.read.parquet(path).filter(F.col("shard") == k).select("term", "df").toArrow()
+        terms = got["term"].to_numpy().astype(np.int64).view(U)
+        order = np.argsort(terms)
+        yield Whole(n, length / n if n else 1.0, terms[order], got["df"].to_numpy()[order])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, bm25, overlap, question_overlap, answer_overlap) of every retrieved pair, verified or not.
 
     The benchmark (item_id, text) is taken in shards of about ``SHARD_BYTES``, so each index that the executors
-    are given is bounded; each shard reads the documents once. Null texts are empty, null item_ids are left out.
+    are given is bounded; each shard reads the documents once. Scores are those of the whole benchmark. Null texts are empty, null item_ids are left out.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / SHARD_BYTES))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
     texts, hits = whole_texts(docs), None
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        part = texts.mapInArrow(_retrieve(build([tuple(r) for r in rows])), HITS)
+    for k, whole in enumerate(_wholes(items, shards) if shards > 1 else [None]):
+        rows = items.filter(F.col("shard") == k).select("item_id", "text").orderBy("item_id", "text").collect()
+        part = texts.mapInArrow(_retrieve(build([tuple(r) for r in rows], whole)), HITS)
         hits = part if hits is None else hits.unionByName(part)
     return hits
 

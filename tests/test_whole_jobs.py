@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hustings.llm import decontaminate, license_scan
 from hustings.operators import dims, marts
@@ -116,3 +117,16 @@ def test_short_benchmark_items_are_found(spark):
     assert set(got) == {(10, 1), (10, 5), (11, 2), (13, 4), (14, 6), (19, 2)}
     assert got[10, 1] == (1.0, 1.0, None) and got[13, 4] == (1.0, None, 1.0)
     assert {r["doc_id"]: r["n_items"] for r in decontaminate.decontaminate(*made).collect() if r["contaminated"]} == {10: 2, 11: 1, 13: 1, 14: 1, 19: 1}
+
+
+def test_scores_are_the_same_in_shards(spark, monkeypatch):
+    rnd = random.Random(4)
+    common = [" ".join(f"c{rnd.randrange(40)}" for _ in range(12)) for _ in range(4)]
+    items = [(k, f"{rnd.choice(common)} " + " ".join(f"i{k}x{j}" for j in range(rnd.randrange(3, 25)))) for k in range(40)] + [(77, "two words"), (78, None)]
+    docs = [(k, " ".join(rnd.choice(items[:40])[1].split()[a : a + 14])) for k in range(60) for a in [rnd.randrange(9)]]
+    made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for size in (1 << 20, 600):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        got.append(sorted(tuple(r) for r in decontaminate.contaminated(*made).select("doc_id", "item_id", F.round("bm25", 9), "overlap").collect()))
+    assert len(got[0]) > 20 and got[0] == got[1]
