@@ -5,6 +5,8 @@ Each stage gets what the one before kept, as a table read from Parquet, and call
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,25 @@ def _of(docs: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, same, how)
 
 
+def _without(spark: SparkSession, docs: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of docs but those that ``found`` returns the doc_ids of; rows that share a doc_id (null too) go each by its own text."""
+    again = docs.groupBy(F.col("doc_id")).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    if again.isEmpty():
+        return _of(docs, found(docs), "left_anti")
+    # such rows are numbered, in a table so that the numbers stay, and looked at under their numbers
+    path = scratch(spark, "repeated")
+    _of(docs, again, "left_semi").withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    gone = found(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_gone")).distinct()
+    rows = rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    once = _of(docs, again, "left_anti")
+    return _of(once, found(once), "left_anti").unionByName(rows)
+
+
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity (4): documents predicted toxic go."""
+    """Toxicity (4): documents predicted toxic go, of rows that share a doc_id the toxic ones only."""
     model = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
-    return _of(docs, toxicity.toxicity(docs, model).filter("predicted = 1"), "left_anti")
+    return _without(spark, docs, lambda rows: toxicity.toxicity(rows, model).filter("predicted = 1"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +70,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination (6): documents with a verified test item go."""
-    found = decontaminate.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
-    return _of(docs, found.filter(F.col("overlap") >= decontaminate.OVERLAP), "left_anti")
+    """Benchmark decontamination (6): documents with a verified test item go, of rows that share a doc_id those with one only."""
+    items = queries.table(spark, sf_dir, "benchmark")
+    return _without(spark, docs, lambda rows: decontaminate.contaminated(rows, items).filter(F.col("overlap") >= decontaminate.OVERLAP))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,3 +130,17 @@ def test_scores_are_the_same_in_shards(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
         got.append(sorted(tuple(r) for r in decontaminate.contaminated(*made).select("doc_id", "item_id", F.round("bm25", 9), "overlap").collect()))
     assert len(got[0]) > 20 and got[0] == got[1]
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "decontamination"])
+def test_rows_that_share_a_doc_id_go_by_their_texts(spark, tmp_path, monkeypatch, stage):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    bad = "one two three four five six seven eight"
+    rows = [(None, bad, "a"), (None, "clean", "b"), (None, None, "c"), (5, "fine", "d"), (5, bad, "e"), (5, bad, "f"), (6, bad, "g"), (7, "good", "h"), (8, "twice", "i"), (8, "twice", "i")]
+    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "toxicity", lambda docs, model: docs.select("doc_id", F.when(F.col("text") == bad, 1).otherwise(0).alias("predicted")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert out.schema == docs.schema and sorted(map(str, out.collect())) == sorted(map(str, docs.filter("text IS NULL OR text NOT LIKE 'one two%'").collect()))
