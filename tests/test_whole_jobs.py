@@ -1,12 +1,7 @@
 """Queries that once did less than the whole job, against brute force without blocks or subsets."""
 
-import random
-
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
-from hustings.llm import decontaminate, license_scan
 from hustings.operators import dims, marts
 from hustings.plans import catalogue
 
@@ -40,43 +35,6 @@ def test_embedding_pairs_of_odd_rows(spark):
     assert marts.embedding_pairs(df.limit(0), 0.9).count() == 0
 
 
-def fewest_edits(text, phrase):
-    """Of every run of whole words the edits to the phrase, by the plain table: {(start, end): edits}."""
-    out = {}
-    for a in range(len(text)):
-        if a and text[a - 1] != 32:
-            continue
-        row = list(range(len(phrase) + 1))
-        for b in range(a, min(len(text), a + len(phrase) + 10)):
-            new = [b - a + 1]
-            for j, c in enumerate(phrase):
-                new.append(min(row[j] + (text[b] != c), row[j + 1] + 1, new[-1] + 1))
-            row = new
-            if b + 1 == len(text) or text[b + 1] == 32:
-                out[a, b + 1] = row[-1]
-    return out
-
-
-@pytest.mark.parametrize("notice", [n for n in license_scan.FUZZY if n.edits], ids=lambda n: n.phrase[:20])
-def test_repeated_notices_are_all_found(notice):
-    rnd = random.Random(3)
-    for edited in ((), (0,), (1,), (0, 2), (0, 1, 2)):
-        copies = []
-        for k in range(3):
-            s = list(notice.phrase)
-            for i in rnd.sample([i for i in range(2, len(s) - 2) if s[i] != " "], notice.edits if k in edited else 0):
-                s[i] = "q"
-            copies.append("".join(s).encode())
-        for text in (b" ".join(copies), b"so " + b" and ".join(copies) + b" end"):
-            got = license_scan.find(text, notice)
-            scores = fewest_edits(text, notice.phrase.encode())
-            assert len(got) == 3 and all(scores[s, e] == n for s, e, n in got), (text, got)
-            # no run of words that overlaps one found notice only is closer
-            for (a, b), v in scores.items():
-                near = [n for s, e, n in got if a < e and s < b]
-                assert len(near) != 1 or near[0] <= v
-
-
 def ratio(a, b):
     """200 x longest common subsequence of the sorted words over both lengths."""
     a, b = (" ".join(sorted(x.split())) for x in (a, b))
@@ -107,40 +65,3 @@ def test_incumbents_of_other_names_against_brute_force(spark):
         score = max(ratio(r["full_name"], n) for c, n in known if c == r["commune_insee"])
         assert abs(r["incumbent_match_score"] - score) < 1e-9 and r["is_incumbent"] is (score >= 85) and r["incumbent_match_auditable"] is (score < 100)
     assert len(got) == 10 and {r["is_incumbent"] for r in got} == {True, False}
-
-
-def test_short_benchmark_items_are_found(spark):
-    items = [(1, "Forty-two"), (2, "Paris."), (3, "who wrote it"), (4, "Name it. Oslo"), (5, "forty two"), (6, "to be or not to be that is"), (7, None)]
-    docs = [(10, "the answer is forty two, he said"), (11, "PARIS"), (12, "forty and two; who wrote that"), (13, "so name it: oslo"), (14, "well to be or not to be that is"), (15, None), (16, "parish"), (17, "end name it"), (18, "oslo who wrote"), (19, "it paris")]
-    made = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): (r["overlap"], r["question_overlap"], r["answer_overlap"]) for r in decontaminate.contaminated(*made).collect()}
-    assert set(got) == {(10, 1), (10, 5), (11, 2), (13, 4), (14, 6), (19, 2)}
-    assert got[10, 1] == (1.0, 1.0, None) and got[13, 4] == (1.0, None, 1.0)
-    assert {r["doc_id"]: r["n_items"] for r in decontaminate.decontaminate(*made).collect() if r["contaminated"]} == {10: 2, 11: 1, 13: 1, 14: 1, 19: 1}
-
-
-def test_scores_are_the_same_in_shards(spark, monkeypatch):
-    rnd = random.Random(4)
-    common = [" ".join(f"c{rnd.randrange(40)}" for _ in range(12)) for _ in range(4)]
-    items = [(k, f"{rnd.choice(common)} " + " ".join(f"i{k}x{j}" for j in range(rnd.randrange(3, 25)))) for k in range(40)] + [(77, "two words"), (78, None)]
-    docs = [(k, " ".join(rnd.choice(items[:40])[1].split()[a : a + 14])) for k in range(60) for a in [rnd.randrange(9)]]
-    made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = []
-    for size in (1 << 20, 600):
-        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
-        got.append(sorted(tuple(r) for r in decontaminate.contaminated(*made).select("doc_id", "item_id", F.round("bm25", 9), "overlap").collect()))
-    assert len(got[0]) > 20 and got[0] == got[1]
-
-
-@pytest.mark.parametrize("stage", ["toxicity", "decontamination"])
-def test_rows_that_share_a_doc_id_go_by_their_texts(spark, tmp_path, monkeypatch, stage):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    bad = "one two three four five six seven eight"
-    rows = [(None, bad, "a"), (None, "clean", "b"), (None, None, "c"), (5, "fine", "d"), (5, bad, "e"), (5, bad, "f"), (6, bad, "g"), (7, "good", "h"), (8, "twice", "i"), (8, "twice", "i")]
-    spark.createDataFrame([(1, bad)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda docs, labels: None)
-    monkeypatch.setattr(corpus_pipeline.toxicity, "toxicity", lambda docs, model: docs.select("doc_id", F.when(F.col("text") == bad, 1).otherwise(0).alias("predicted")))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
-    assert out.schema == docs.schema and sorted(map(str, out.collect())) == sorted(map(str, docs.filter("text IS NULL OR text NOT LIKE 'one two%'").collect()))
