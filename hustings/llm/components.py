@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hustings.llm.store import materialise, ship
+from hustings.llm.store import release, scratch, ship
 
 
 def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,30 +46,40 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(n[n != m]), pa.array(m[n != m])], ["a", "b"])
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each batch without repeats; one that any of its rows says was moved is."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from pa.Table.from_batches([batch]).group_by(["a", "b"]).aggregate([("moved", "max")]).rename_columns(["a", "b", "moved"]).to_batches()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of ``links`` (a, b) can reach.
 
-    Rounds of large-star and small-star steps: every node's larger neighbours, then its smaller ones, are linked
-    to the least neighbour, until all links point to roots. Links are first contracted within tasks; a node's
-    neighbours are only ever reduced to their least one, so a node with very many is not gathered.
+    A round has a large-star and a small-star step: a node's children are linked to its least neighbour, then a
+    child's parents, and the child, to the least of them. A row says whether the round changed it, so the rounds end
+    with one that changes nothing. Links are contracted within tasks first; a node's children are rows of a join that
+    may be split and its parents at most one for each task, so a node with very many neighbours is not gathered.
     """
-    ship(links.sparkSession)
-    stars = links.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a long, b long")
-    now = materialise(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    ship(spark)
+    links = links.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a long, b long")
+    links, path = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("moved")), None
     for _ in range(most_rounds):
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        new = materialise(new, "links")
-        # done when no root is anyone's child and each child has one root
-        open_ = new.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
-        chained = new.select(F.col("b").alias("a")).distinct().join(new, "a", "left_semi").limit(1)
-        now = new
-        if open_.isEmpty() and chained.isEmpty():
+        to = scratch(spark, "links")
+        links.mapInArrow(_once, "a long, b long, moved boolean").write.parquet(to)
+        release([path])
+        now, path = spark.read.schema("a long, b long, moved boolean").parquet(to), to
+        if now.filter("moved").isEmpty():
             break
+        up = now.groupBy(F.col("a").alias("parent")).agg(F.min("b").alias("up"))
+        # as many rows as there are links, so they are not broadcast where they happen to be few
+        large = now.join(up.hint("merge"), now.b == up.parent, "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved"))
+        small = large.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+        small = small.withColumn("moved", F.col("moved") | (F.col("b") != F.col("least")))
+        both = F.explode(F.array(F.struct("a", F.col("least").alias("b"), "moved"), F.struct(F.col("b").alias("a"), F.col("least").alias("b"), "moved")))
+        links = small.select(both.alias("x")).select("x.*").filter("a <> b")
     else:
         raise RuntimeError("components did not settle")
+    # each node below a root has one row by now
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -74,8 +74,8 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def release(paths: list[str] | None = None) -> None:
-    """Delete scratch folders; all of them by default."""
+def release(paths: list[str | None] | None = None) -> None:
+    """Delete scratch folders, which nothing may read any more; all of them by default."""
     for spark, path in list(_made):
         if paths is None or path in paths:
             try:
