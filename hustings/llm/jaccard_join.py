@@ -383,8 +383,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     spark = docs.sparkSession
     n = partitions(spark)
     texts = whole_texts(docs)
-    counted = texts.mapInArrow(_count_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    ranked = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    counted = materialise(texts.mapInArrow(_count_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "counts")
+    ranked = _most_common(counted, COMMON).toArrow()
     counts, common = ranked["n"].to_numpy(), ranked["shingle"].to_numpy().view(U)
     # from the least common
     order = np.lexsort((common, counts))
@@ -403,25 +403,27 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     pairs = listed.filter("hub <> node").unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
 
     pairs = materialise(pairs, "candidates")
-    sized = pairs.filter("kind = 0").join(cells.select(F.col("node").alias("hub"), F.col("n").alias("na"), F.col("cells").alias("cells_a")), "hub").join(cells.select("node", F.col("n").alias("nb"), F.col("cells").alias("cells_b")), "node")
+    first = cells.select(F.col("node").alias("hub"), F.col("n").alias("na"), F.col("cells").alias("cells_a")).hint("merge")
+    second = cells.select("node", F.col("n").alias("nb"), F.col("cells").alias("cells_b")).hint("merge")
+    sized = pairs.filter("kind = 0").join(first, "hub").join(second, "node")
     likely = sized.mapInArrow(_bound(percent), "hub long, node long, kind byte")
+    # sizes of groups, blocks and classes grow with the input: none of them is broadcast where it happens to be small
     groups = pairs.filter("kind = 1")
-    size = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    large = groups.join(size.filter(F.col("size") > BLOCK), "hub", "left_semi")
-    small = size.filter(F.col("size") <= BLOCK).select("hub")
-    members = groups.join(small, "hub", "left_semi").select("hub", "node").unionByName(small.select("hub", F.col("hub").alias("node")))
-    families = members.join(cells, "node").groupBy(F.pmod(F.xxhash64("hub"), F.lit(BUCKETS * n)).alias("bucket")).applyInArrow(_families(percent), "hub long, node long, kind byte")
+    groups = groups.join(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("size")).hint("merge"), "hub")
+    large = groups.filter(F.col("size") > BLOCK).select("hub", "node", "kind")
+    small = groups.filter(F.col("size") <= BLOCK).select("hub", "node")
+    # the hub comes along with its least member
+    small = small.unionByName(small.groupBy("hub").agg(F.col("hub").alias("node")))
+    families = small.join(cells.hint("merge"), "node").groupBy(F.pmod(F.xxhash64("hub"), F.lit(BUCKETS * n)).alias("bucket")).applyInArrow(_families(percent), "hub long, node long, kind byte")
     asked = materialise(likely.unionByName(large).unionByName(families).groupBy("hub", "node").agg(F.max("kind").alias("kind")), "pairs")
     # a group is dealt in parts of about a block, each with the hub
     parts = asked.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    dealt_out = asked.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    wanted = dealt_out.select("hub", "part", "node", "kind", F.lit(False).alias("is_hub"))
-    wanted = wanted.unionByName(dealt_out.select("hub", "part", F.col("hub").alias("node"), F.lit(0).cast("byte").alias("kind"), F.lit(True).alias("is_hub")).distinct())
+    wanted = asked.join(parts.hint("merge"), "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "kind", F.lit(False).alias("is_hub"))
+    wanted = wanted.unionByName(parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(0).cast("byte").alias("kind"), F.lit(True).alias("is_hub")))
     named = classes.select("node", "doc_id", "fp")
     text_of = texts.select("doc_id", "text")
     # repeated rows of a doc_id may differ, so a text is taken for its class by the class's own mark
-    sources = materialise(signed.select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "repeated")
-    repeated = not sources.isEmpty()
+    repeated = not signed.groupBy("doc_id").agg(F.min("fp").alias("one"), F.max("fp").alias("other")).filter("one <> other").isEmpty()
     if repeated:
         text_of = text_of.mapInArrow(_with_marks(words), "doc_id long, text string, fp binary")
         on = lambda t: (text_of.doc_id.eqNullSafe(t.doc_id)) & (text_of.fp == t.fp)
@@ -429,8 +431,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         on = lambda t: text_of.doc_id.eqNullSafe(t.doc_id)
 
     def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
-        named_rows = rows.join(named, "node")
-        # the rows grow with the input, so they are not broadcast where they happen to be few
+        named_rows = rows.join(named.hint("merge"), "node")
         found = text_of.join(named_rows.hint("merge"), on(named_rows)).select(*columns, text_of.text)
         return found.dropDuplicates(columns) if repeated else found
 
@@ -442,33 +443,54 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
     # what pivots leave open: members they don't link, and linked ones close enough to one of those
     around = answers.filter("kind = 1").select("hub", "node", "linked", "distance")
-    open_ = around.filter("NOT linked").groupBy("hub").agg(F.min("distance").alias("nearest"))
-    rest = around.join(open_, "hub").filter(F.col("distance") >= F.when(F.col("linked"), F.col("nearest") - (1 - percent / 100) - 1e-9).otherwise(0)).drop("nearest")
+    open_ = around.groupBy("hub").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest"), (F.count(F.lit(1)) <= BLOCK).alias("small")).filter("nearest IS NOT NULL")
+    rest = around.join(open_.hint("merge"), "hub").filter(F.col("distance") >= F.when(F.col("linked"), F.col("nearest") - (1 - percent / 100) - 1e-9).otherwise(0))
     # a group of no more than a block is one shell: its distances are used within the block
-    whole = rest.groupBy("hub").agg((F.count(F.lit(1)) <= BLOCK).alias("small"))
-    rest = rest.join(whole, "hub").withColumn("shell", F.when(F.col("small"), 0).otherwise(F.floor(F.col("distance") / SHELL)).cast("int")).drop("small")
-    rest = materialise(rest, "rest")
+    rest = materialise(rest.select("hub", "node", "linked", "distance", F.when(F.col("small"), 0).otherwise(F.floor(F.col("distance") / SHELL)).cast("int").alias("shell")), "rest")
     if not rest.isEmpty():
-        size = rest.groupBy("hub", "shell").agg(F.count(F.lit(1)).alias("m"), F.min("linked").alias("all_linked"))
-        size = size.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        reach = int(np.ceil((1 - percent / 100) / SHELL)) + 1
-        other = size.select("hub", F.col("shell").alias("shell2"), F.col("blocks").alias("blocks2"), F.col("all_linked").alias("all2"))
-        near = size.join(other, "hub").filter((F.col("shell2") - F.col("shell")).between(0, reach) & ~(F.col("all_linked") & F.col("all2")))
-        # pairs of blocks (i of the lower shell, j of the upper one)
-        tiles = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1))).filter("shell < shell2 OR i <= j").select("hub", "shell", "i", "shell2", "j")
-        blocked = rest.join(size.select("hub", "shell", "blocks"), ["hub", "shell"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-        lower = blocked.join(tiles, ["hub", "shell", "i"]).select("hub", "shell", "i", "shell2", "j", "node", "linked", "distance", F.lit(0).alias("side"))
-        upper = blocked.withColumnsRenamed({"shell": "shell2", "i": "j"}).join(tiles.filter("shell < shell2 OR i < j"), ["hub", "shell2", "j"]).select("hub", "shell", "i", "shell2", "j", "node", "linked", "distance", F.lit(1).alias("side"))
-        columns = ["hub", "shell", "i", "shell2", "j", "node", "linked", "distance", "side"]
-        tiled = with_text(lower.unionByName(upper), columns).groupBy("hub", "shell", "i", "shell2", "j")
+        tiled = with_text(_tiles(rest, int(np.ceil((1 - percent / 100) / SHELL)) + 1), ["hub", "tile", "node", "linked", "distance", "side"]).groupBy("hub", "tile")
         links = links.unionByName(tiled.applyInArrow(_within_block(words, percent), "a long, b long"))
 
     roots = components(links)
-    labelled = classes.select("node", "fp", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = classes.select("node", "fp", "doc_id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_set = labelled.join(least, "root").select("fp", "component_id")
+    by_set = labelled.join(least.hint("merge"), "root").select("fp", "component_id")
     alone = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return signed.filter("n > 0").join(by_set, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    return signed.filter("n > 0").select("doc_id", "n", "fp").join(by_set.hint("merge"), "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+
+
+def _tiles(rest: DataFrame, reach: int) -> DataFrame:
+    """A row for each member and each tile that it is in: a pair of blocks, (block of the lower shell, block of the upper).
+
+    Shells are cut into blocks by a hash; blocks meet those of shells at most ``reach`` further, but for shells that
+    the pivot links whole. A group has a bounded number of shells, so their sizes are one row of arrays."""
+    shells = int(1 / SHELL) + 1
+    of = lambda k, wanted: F.ceil(F.count(F.when((F.col("shell") == k) & wanted, 1)) / BLOCK).cast("int")
+    shape = rest.groupBy("hub").agg(F.array(*[of(k, F.lit(True)) for k in range(shells)]).alias("blocks"), F.array(*[of(k, ~F.col("linked")) > 0 for k in range(shells)]).alias("open"))
+    placed = rest.join(shape.hint("merge"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.get("blocks", F.col("shell"))).cast("int"))
+    numbers = lambda k: F.when(F.get("blocks", k) > 0, F.sequence(F.lit(0), F.get("blocks", k) - 1)).otherwise(F.array().cast("array<int>"))
+    meets = lambda k: F.get("open", k) | F.get("open", F.col("shell"))
+    own = F.struct(F.col("shell").alias("shell"), F.col("block").alias("block"))
+    other = lambda k, j: F.struct(k.alias("shell"), j.alias("block"))
+    none = F.array().cast("array<struct<tile:struct<lower:struct<shell:int,block:int>,upper:struct<shell:int,block:int>>,side:int>>")
+    tile = lambda lower, upper, side: F.struct(F.struct(lower.alias("lower"), upper.alias("upper")).alias("tile"), F.lit(side).alias("side"))
+    up = F.transform(F.sequence(F.col("shell"), F.least(F.col("shell") + reach, F.lit(shells - 1))), lambda k: F.when(meets(k), F.transform(F.filter(numbers(k), lambda j: (k > F.col("shell")) | (j >= F.col("block"))), lambda j: tile(own, other(k, j), 0))).otherwise(none))
+    down = F.transform(F.sequence(F.greatest(F.col("shell") - reach, F.lit(0)), F.col("shell")), lambda k: F.when(meets(k), F.transform(F.filter(numbers(k), lambda j: (k < F.col("shell")) | (j < F.col("block"))), lambda j: tile(other(k, j), own, 1))).otherwise(none))
+    return placed.select("hub", "node", "linked", "distance", F.explode(F.concat(F.flatten(up), F.flatten(down))).alias("at")).select("hub", "node", "linked", "distance", "at.*")
+
+
+def _most_common(counted: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the shingles (shingle, n) with the largest n; they are counted by size, not sorted."""
+    size = F.floor(64 * F.log2("n"))
+    by_size = counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("m")).collect()
+    left, edge, share = most, -1, 1024
+    for edge, m in sorted(map(tuple, by_size), reverse=True):
+        if m > left:
+            # of the last size a share by the hash that a shingle is
+            share = 1024 * left // m
+            break
+        left -= m
+    return counted.filter((size > edge) | ((size == edge) & (F.pmod("shingle", F.lit(1024)) < share)))
 
 
 def _with_marks(words: int):

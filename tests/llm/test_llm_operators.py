@@ -482,3 +482,14 @@ def test_word_hashes_and_shingles():
     assert d.tolist() == [0, 3, 3, 4]
     parts = list(textops.steps(iter([pa.RecordBatch.from_arrays([column], ["text"])]), most=4))
     assert sum(p[0].num_rows for p in parts) == 5
+
+
+def test_most_common_shingles_are_chosen_without_a_sort(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.getrandbits(63), n) for n, m in [(5000, 3), (90, 10), (7, 900), (2, 800)] for _ in range(m)]
+    counted = spark.createDataFrame(rows, "shingle long, n long")
+    got = lambda most: Counter(r["n"] for r in jaccard_join._most_common(counted, most).collect())
+    assert got(5000) == Counter(n for _, n in rows) and got(13) == {5000: 3, 90: 10}
+    part = got(400)
+    assert part[5000] == 3 and part[90] == 10 and 300 < part[7] < 470 and 2 not in part
+    assert got(1)[5000] <= 1 and jaccard_join._most_common(counted.limit(0), 10).count() == 0
