@@ -3,7 +3,8 @@
 Both kinds of vocabulary cut a text before merging bytes, and never across a space that follows a
 character other than white space. The pieces between such spaces are thus encoded one by one, each
 distinct piece once while the cache holds it; the ids are those of the whole text. Files of another
-kind are given whole texts. Special tokens' strings in a text are ordinary text.
+kind are given whole texts. The string of a special token in a text is that token, as the library has it, and
+the texts before and after it are encoded each for itself.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
 
@@ -52,14 +54,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         pre = described.get("pre_tokenizer") or {}
         spaced = described.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         parts = pre.get("pretokenizers") or [{}]
         worded = parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in (parts[0].get("pattern") or {}).get("Regex", "")
-        self.kind = "spaced" if spaced else "worded" if worded else "whole"
+        added = {a["content"]: a for a in described.get("added_tokens") or []}
+        # an added token with conditions of its own can't be told from the text alone
+        plain = not any(a[k] for a in added.values() for k in ("normalized", "lstrip", "rstrip", "single_word"))
+        self.kind = "whole" if not plain else "spaced" if spaced else "worded" if worded else "whole"
+        self.added = {c: array("I", [a["id"]]).tobytes() for c, a in added.items()}
+        self.around = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
         self.tokenize = self.model.model.tokenize
         self.line = self._ids("\n")
         self.first = Pieces(lambda p: self._learn(p, ""), kept)
@@ -101,20 +107,27 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.kind == "whole":
             return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [b"".join(self._around(t)) if any(a in t for a in self.added) else self._text(t) for t in texts]
+
+    def _around(self, text: str) -> Iterator[bytes]:
+        """Ids of a text that holds added tokens: of what lies between them, and of each of them."""
+        at = 0
+        for m in self.around.finditer(text):
+            yield self._text(text[at : m.start()])
+            yield self.added[m[0]]
+            at = m.end()
+        yield self._text(text[at:])
+
+    def _text(self, t: str) -> bytes:
         get, join = self.later.__getitem__, b"".join
         if self.kind == "worded":
-            return [join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
-        out = []
-        for t in texts:
-            if t[:1].isspace() or t[-1:].isspace() or any(c in t for c in _unusual):
-                # without the pieces that begin with a line end, which stand for that alone
-                head, *rest = _after_word.split(t)
-                ids = [get(p) if p[:1] != "\n" else self._ids(" " + p) for p in rest]
-                out.append(self._ids(head) + join(ids))
-            else:
-                head, *rest = t.replace("\n", " \n").split(" ")
-                out.append((self.first[head] if head else b"") + join(map(get, rest)))
-        return out
+            return join(map(get, t.replace("\n", " ").split(" ")))
+        if t[:1].isspace() or t[-1:].isspace() or any(c in t for c in _unusual):
+            # without the pieces that begin with a line end, which stand for that alone
+            head, *rest = _after_word.split(t)
+            return self._ids(head) + join([get(p) if p[:1] != "\n" else self._ids(" " + p) for p in rest])
+        head, *rest = t.replace("\n", " \n").split(" ")
+        return (self.first[head] if head else b"") + join(map(get, rest))
 
 
 def encoder(path: str, kept: int = KEPT) -> Encoder:

@@ -128,7 +128,6 @@ def reference_ids(path, texts):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     return [np.array(e.ids, "<u4") for e in tk.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -137,7 +136,10 @@ def test_encoder_is_the_library(path, texts):
     rnd = random.Random(4)
     parts = ["a", "Bc", "é", "İ", "ß", "1", "٣", " ", "  ", "\n", "\n\n", "\t", "'s", "́", ".", ",", "$$", "_", "'", "日", "\x1c", "\x85", "​", "The", "<|endoftext|>"]
     many = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)] + [t for _, t in texts]
+    rnd.shuffle(parts)
+    many += [a + special + b for special in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|") for a in ("", "hello ", "x", "a \n", "é  ") for b in ("", " world", "y", "\n\nb", "<|endoftext|>")]
     got = encode.Encoder(path).encode(many)
+    assert sum(b"<|endoftext|>" in t.encode() for t in many) > 50
     assert got == [x.tobytes() for x in reference_ids(path, many)]
 
 
