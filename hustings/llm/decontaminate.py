@@ -5,8 +5,8 @@ largest score of each, scores being BM25 over what the item must reach, so 1 is
 Every passage of every training text (``PASSAGE`` words, half of them shared with the next one) is a query, and
 all items from 1 on are retrieved: passages whose terms' largest scores don't add up to 1 are passed over
 all at once, the rest run through WAND, which moves past items, and blocks of them, that can't get there.
-A retrieved item is verified on the whole text: the share of its distinct runs of ``SHINGLE`` words, of its
-question and of its answer (its last sentence), that the text has. Items of fewer words than a shingle are
+A retrieved item is verified on the whole text: the text must have ``OVERLAP`` of the item's distinct runs of ``SHINGLE``
+words, and as large a share of those of its question and of its answer (its last sentence). Items of fewer words than a shingle are
 looked for as they stand, word for word.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm.encode import forget
@@ -30,7 +30,7 @@ TERM, SHINGLE = 3, 5
 PASSAGE = 128
 #: Share of the score that an item has against itself (or its half-passage part) that a passage must reach.
 REACH = 0.5
-#: Share of an item's shingles that makes a text contaminated.
+#: Share of an item's shingles, of its question's and of its answer's, that makes a text contaminated.
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
 #: Items in a block of a list, and bytes of items that one index, broadcast to the executors, holds.
@@ -311,7 +311,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, bm25, overlap, question_overlap, answer_overlap) of every retrieved pair, verified or not.
 
     The benchmark (item_id, text) is taken in shards of about ``SHARD_BYTES``, so each index that the executors
-    are given is bounded; each shard reads the documents once. Scores are those of the whole benchmark. Null texts are empty, null item_ids are left out.
+    are given is bounded; each shard reads the documents once. Scores are those of the whole benchmark. Null texts are empty, null item_ids are left out,
+    rows that share an item_id are items of their own, and rows of docs that share a doc_id (null too) have rows each for itself.
+    A text is searched and verified whole, whatever its length, and no part of it is held twice.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).filter("item_id IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -325,16 +327,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return hits
 
 
+def verified(overlap: float = OVERLAP) -> Column:
+    """Of a row of ``contaminated``: whether the text has that share of the item, of its question and of its answer, where it has one."""
+    part = lambda c: F.coalesce(F.col(c) >= overlap, F.lit(True))
+    return (F.col("overlap") >= overlap) & part("question_overlap") & part("answer_overlap")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """One row for each row of docs: doc_id, contaminated, n_items (verified ones), item_id (that of the largest
-    overlap, then the least), overlap, question_overlap, answer_overlap (of that item; null without a retrieved one).
+    """One row for each row of docs: doc_id, contaminated, n_items (verified ones), item_id (a verified one before others, that of
+    the largest overlap, then the least), overlap, question_overlap, answer_overlap (of that item; null without a retrieved one).
 
     docs: doc_id, text and other columns, which are ignored. Null and empty texts are clean. Rows that share a
     doc_id share what was found in either; null doc_ids share too. An empty table or benchmark gives clean rows or none.
     """
     by_doc = contaminated(docs, benchmark).groupBy(F.col("doc_id").alias("id")).agg(
-        F.count_distinct(F.when(F.col("overlap") >= overlap, F.col("item_id"))).alias("n_items"),
-        F.min(F.struct((-F.col("overlap")).alias("less"), "item_id", "overlap", "question_overlap", "answer_overlap")).alias("best"),
+        F.count_distinct(F.when(verified(overlap), F.col("item_id"))).alias("n_items"),
+        F.min(F.struct((~verified(overlap)).alias("open"), (-F.col("overlap")).alias("less"), "item_id", "overlap", "question_overlap", "answer_overlap")).alias("best"),
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(by_doc, ids.doc_id.eqNullSafe(by_doc.id), "left").select(

@@ -52,7 +52,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verified pairs: a document that is in none is clean."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.filter(found["overlap"] >= decontaminate.OVERLAP)
+    return found.filter(decontaminate.verified())
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Notices, test items and stages that once did less than the whole job, against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,51 @@ def test_rows_that_share_a_doc_id_go_by_their_texts(spark, tmp_path, monkeypatch
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
     assert out.schema == docs.schema and sorted(map(str, out.collect())) == sorted(map(str, docs.filter("text IS NULL OR text NOT LIKE 'one two%'").collect()))
+
+
+def test_question_and_answer_must_both_stand(spark):
+    question, answer = " ".join(f"q{k}" for k in range(60)) + ".", " ".join(f"a{k}" for k in range(9))
+    items = [(1, f"{question} {answer}"), (2, " ".join(f"o{k}" for k in range(30)))]
+    docs = [(10, f"so {question} {answer} end"), (11, f"so {question} another answer stands here at the end"), (12, f"only {answer} without what was asked"), (13, items[1][1])]
+    made = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["overlap"] for r in decontaminate.contaminated(*made).collect()}
+    # the question alone is most of the item
+    assert found[11, 1] >= decontaminate.OVERLAP
+    rows = decontaminate.decontaminate(*made).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in rows} == {10: True, 11: False, 12: False, 13: True}
+    assert {r["doc_id"] for r in decontaminate.contaminated(*made).filter(decontaminate.verified()).collect()} == {10, 13}
+
+
+def test_decontaminate_against_brute_force(spark):
+    """Every pair of document and item by its shingles alone, without an index."""
+    rnd = random.Random(11)
+    item = lambda: " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(60)) for _ in range(rnd.randrange(6, 40))) + rnd.choice(["", ". " + " ".join(f"z{rnd.randrange(90)}" for _ in range(7))])
+    items = [(k, item()) for k in range(30)]
+    docs = []
+    for k in range(120):
+        w = [f"f{rnd.randrange(400)}" for _ in range(rnd.randrange(0, 200))]
+        for _, t in rnd.sample(items, rnd.randrange(0, 3)):
+            own = t.split()
+            for _ in range(rnd.randrange(0, 4)):
+                own[rnd.randrange(len(own))] = "edited"
+            a, at = rnd.randrange(0, 3), rnd.randrange(len(w) + 1)
+            w[at:at] = own[a:]
+        docs.append((k, rnd.choice([" ", "\n", ", "]).join(w)))
+
+    def runs(text):
+        w = re.findall(r"[0-9a-z]+", text.lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    want = {}
+    for i, t in items:
+        every, asked = runs(t), len(re.findall(r"[0-9a-z]+", decontaminate.split_answer(t)[0].lower()))
+        where = {}
+        for nth, x in enumerate(every):
+            where.setdefault(x, nth + 5 > asked)
+        for d, text in docs:
+            has = set(runs(text))
+            share = lambda kind: (lambda own: sum(x in has for x in own) / len(own) if own else 1.0)([x for x, tail in where.items() if kind is None or tail == kind])  # noqa: B023, E731
+            if min(share(None), share(False), share(True)) >= decontaminate.OVERLAP:
+                want[d, i] = round(share(None), 9)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).filter(decontaminate.verified()).collect()
+    assert len(want) > 30 and {(r["doc_id"], r["item_id"]): round(r["overlap"], 9) for r in got} == want
