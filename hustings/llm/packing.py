@@ -149,5 +149,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     counts = {int(n): int(c) for n, c in by_task.groupBy("length").agg(F.sum("n")).collect()}
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    ranked = pieces.join(offsets, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("task_rank")).alias("rank"))
+    # a row for each task and length: they grow with the input and are not broadcast
+    ranked = pieces.join(offsets.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("earlier") + F.col("task_rank")).alias("rank"))
     return ranked.mapInArrow(_place(minimum_slack(counts, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
