@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from hustings.llm.components import _least, components
 from hustings.llm.encode import forget
-from hustings.llm.store import materialise, partitions, whole_texts
+from hustings.llm.store import materialise, partitions, release, whole_texts
 from hustings.llm.textops import NOT_SPACE, U, mix, shingle_hashes, steps, word_bounds, word_hashes
 
 #: Words of a shingle, and the similarity in hundredths.
@@ -382,8 +382,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = whole_texts(docs)
-    counted = materialise(texts.mapInArrow(_count_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "counts")
+    texts, passing = whole_texts(docs), []
+    counted = materialise(texts.mapInArrow(_count_common(words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "counts", passing)
     ranked = _most_common(counted, COMMON).toArrow()
     counts, common = ranked["n"].to_numpy(), ranked["shingle"].to_numpy().view(U)
     # from the least common
@@ -402,7 +402,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     members = at_hot.join(F.broadcast(pivots), "shingle").filter("hub <> node").select("hub", "node", F.lit(1).cast("byte").alias("kind"))
     pairs = listed.filter("hub <> node").unionByName(members).groupBy("hub", "node").agg(F.max("kind").alias("kind"))
 
-    pairs = materialise(pairs, "candidates")
+    pairs = materialise(pairs, "candidates", passing)
     first = cells.select(F.col("node").alias("hub"), F.col("n").alias("na"), F.col("cells").alias("cells_a")).hint("merge")
     second = cells.select("node", F.col("n").alias("nb"), F.col("cells").alias("cells_b")).hint("merge")
     sized = pairs.filter("kind = 0").join(first, "hub").join(second, "node")
@@ -415,7 +415,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     # the hub comes along with its least member
     small = small.unionByName(small.groupBy("hub").agg(F.col("hub").alias("node")))
     families = small.join(cells.hint("merge"), "node").groupBy(F.pmod(F.xxhash64("hub"), F.lit(BUCKETS * n)).alias("bucket")).applyInArrow(_families(percent), "hub long, node long, kind byte")
-    asked = materialise(likely.unionByName(large).unionByName(families).groupBy("hub", "node").agg(F.max("kind").alias("kind")), "pairs")
+    asked = materialise(likely.unionByName(large).unionByName(families).groupBy("hub", "node").agg(F.max("kind").alias("kind")), "pairs", passing)
     # a group is dealt in parts of about a block, each with the hub
     parts = asked.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     wanted = asked.join(parts.hint("merge"), "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "kind", F.lit(False).alias("is_hub"))
@@ -436,7 +436,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         return found.dropDuplicates(columns) if repeated else found
 
     grouped = with_text(wanted, ["hub", "part", "node", "kind", "is_hub"]).groupBy("hub", "part")
-    answers = materialise(grouped.applyInArrow(_against_hub(words), "hub long, node long, kind byte, both long, na long, nb long"), "answers")
+    answers = materialise(grouped.applyInArrow(_against_hub(words), "hub long, node long, kind byte, both long, na long, nb long"), "answers", passing)
     union = F.col("na") + F.col("nb") - F.col("both")
     answers = answers.withColumn("linked", 100 * F.col("both") >= percent * union).withColumn("distance", 1 - F.col("both") / union)
     links = answers.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -446,12 +446,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     open_ = around.groupBy("hub").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest"), (F.count(F.lit(1)) <= BLOCK).alias("small")).filter("nearest IS NOT NULL")
     rest = around.join(open_.hint("merge"), "hub").filter(F.col("distance") >= F.when(F.col("linked"), F.col("nearest") - (1 - percent / 100) - 1e-9).otherwise(0))
     # a group of no more than a block is one shell: its distances are used within the block
-    rest = materialise(rest.select("hub", "node", "linked", "distance", F.when(F.col("small"), 0).otherwise(F.floor(F.col("distance") / SHELL)).cast("int").alias("shell")), "rest")
+    rest = materialise(rest.select("hub", "node", "linked", "distance", F.when(F.col("small"), 0).otherwise(F.floor(F.col("distance") / SHELL)).cast("int").alias("shell")), "rest", passing)
     if not rest.isEmpty():
         tiled = with_text(_tiles(rest, int(np.ceil((1 - percent / 100) / SHELL)) + 1), ["hub", "tile", "node", "linked", "distance", "side"]).groupBy("hub", "tile")
         links = links.unionByName(tiled.applyInArrow(_within_block(words, percent), "a long, b long"))
 
     roots = components(links)
+    # the links are in the components' own table by now
+    release(passing)
     labelled = classes.select("node", "fp", "doc_id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = labelled.join(least.hint("merge"), "root").select("fp", "component_id")

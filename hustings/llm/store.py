@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
 
 
 _shipped: set[str] = set()
@@ -46,13 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        own = tempfile.mkdtemp(prefix="hustings-")
-        _made.append((spark, own))
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", own) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return own
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="hustings-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+    return _own[sc.applicationId]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -61,10 +63,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back with the same schema."""
+def made(spark: SparkSession) -> list[str]:
+    """Scratch folders that the session has by now."""
+    return [path for s, path in _made if s is spark]
+
+
+def materialise(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
+    """Write once to the shared folder and read back with the same schema; ``passing`` gets the folder of a table
+    that its caller will release."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if passing is not None:
+        passing.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -69,3 +69,50 @@ def test_registered():
     q = entry.queries()
     assert [n for n in range(1, 11) if any(k.startswith(f"op{n}_") for k in q)] == list(range(1, 11)) and "pipeline" in q
     assert set(entry.oracle_sql()) <= set(q)
+
+
+CLASHING = "doc_id long, text string, _sha string, _place int, _row int, _kept_id int, _chosen_id int, rows int, gone int, sender int, node long"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name(spark, tables, name):
+    stage, rnd = dict(corpus_pipeline.STAGES)[name], random.Random(3)
+    words = lambda n: " ".join("".join(rnd.choice("aeioulnrst") for _ in range(6)) for _ in range(n))
+    texts = [words(40), words(30), None, "", words(50), words(20)]
+    rows = [(i, t, f"s{i}", *range(i or 0, (i or 0) + 8)) for i, t in zip([1, 1, 2, 3, None, None], texts, strict=True)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    out = stage(spark, docs, tables[0])
+    assert out.columns == docs.columns and out.schema == docs.schema
+    gone = {"exact_dedup": 1}.get(name, 0)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(rows) - gone and set(got) <= set(rows)
+    assert stage(spark, docs.limit(0), tables[0]).collect() == []
+
+
+def test_run_against_brute_force(spark, tables):
+    """Which documents reach the packing, by plain Python from the documents that the classifier leaves."""
+    import re
+
+    d, texts = tables
+    out = corpus_pipeline.run(spark, d)
+    packed = {r[0] for r in out.select("doc_id").collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    left = {r[0] for r in corpus_pipeline.toxic_stage(spark, docs, d).select("doc_id").collect()}
+    first = {}
+    for i in sorted(left, key=lambda i: (-len(texts[i] or ""), i)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]", "", texts[i] or ""), i)
+    kept = sorted(first.values())
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i in kept for w in [(texts[i] or "").lower().split()]}
+    near = [i for i in kept if not any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0 for j in kept)]
+    items = [r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    clean = {i for i in near if not any(t.lower() in (texts[i] or "").lower() for t in items)}
+    assert packed == clean and len(clean) > 400
+    assert {tuple(r) for r in out.groupBy("doc_id").sum("length").collect()} == {(i, n) for i, n in packed_lengths(texts, clean)}
+
+
+def packed_lengths(texts, ids):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [(i, len(tk.encode(texts[i] or "", add_special_tokens=False).ids) + 1) for i in ids]
