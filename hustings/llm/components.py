@@ -67,7 +67,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links, path = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("moved")), None
     for _ in range(most_rounds):
         to = scratch(spark, "links")
-        links.mapInArrow(_once, "a long, b long, moved boolean").write.parquet(to)
+        # the first are without repeats in their tasks: one Python worker for each task in every stage
+        (links.mapInArrow(_once, "a long, b long, moved boolean") if path else links).write.parquet(to)
         release([path])
         now, path = spark.read.schema("a long, b long, moved boolean").parquet(to), to
         if now.filter("moved").isEmpty():
