@@ -53,21 +53,22 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.Table.from_batches([batch]).group_by(["a", "b"]).aggregate([("moved", "max")]).rename_columns(["a", "b", "moved"]).to_batches()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, contract: bool = True, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of ``links`` (a, b) can reach.
 
     A round has a large-star and a small-star step: a node's children are linked to its least neighbour, then a
     child's parents, and the child, to the least of them. A row says whether the round changed it, so the rounds end
-    with one that changes nothing. Links are contracted within tasks first; a node's children are rows of a join that
+    with one that changes nothing. Links are contracted within tasks first, if they aren't few already; a node's children are rows of a join that
     may be split and its parents at most one for each task, so a node with very many neighbours is not gathered.
     """
     spark = links.sparkSession
     ship(spark)
-    links = links.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a long, b long")
+    links = links.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    links = links.mapInArrow(_contract, "a long, b long") if contract else links
     links, path = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("moved")), None
     for _ in range(most_rounds):
         to = scratch(spark, "links")
-        # the first are without repeats in their tasks: one Python worker for each task in every stage
+        # one Python worker for each task in every stage
         (links.mapInArrow(_once, "a long, b long, moved boolean") if path else links).write.parquet(to)
         release([path])
         now, path = spark.read.schema("a long, b long, moved boolean").parquet(to), to

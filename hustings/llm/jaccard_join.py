@@ -449,10 +449,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rest = materialise(rest.select("hub", "node", "linked", "distance", F.when(F.col("small"), 0).otherwise(F.floor(F.col("distance") / SHELL)).cast("int").alias("shell")), "rest", passing)
     if not rest.isEmpty():
         tiled = with_text(_tiles(rest, int(np.ceil((1 - percent / 100) / SHELL)) + 1), ["hub", "tile", "node", "linked", "distance", "side"]).groupBy("hub", "tile")
-        # a table of their own: no stage has more than one Python worker for a task, whose memory an executor bears
-        links = links.unionByName(materialise(tiled.applyInArrow(_within_block(words, percent), "a long, b long"), "within", passing))
+        links = links.unionByName(tiled.applyInArrow(_within_block(words, percent), "a long, b long"))
 
-    roots = components(links)
+    # stars of pivots and connecting links of blocks: contracting them would cost each task another Python worker
+    roots = components(links, contract=False)
     # the links are in the components' own table by now
     release(passing)
     labelled = classes.select("node", "fp", "doc_id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
