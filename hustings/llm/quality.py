@@ -182,7 +182,9 @@ def _train_in_task(most: int):
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 5, remainder: int = 0, most: int = MOST_ROWS) -> Model:
     """A model from at most ``most`` labelled rows that are not held out, trained in one task on an executor."""
     chosen = F.broadcast(training_rows(labels, column, modulus, remainder, most))
-    sample = whole_texts(docs).join(chosen, "doc_id").select("text", "label", F.xxhash64("doc_id", F.lit(1)).alias("order")).limit(2 * most)
+    # of rows that share a doc_id the least text, so the sample is no larger than the labels and the same at every run
+    sample = whole_texts(docs).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    sample = sample.select("text", "label", F.xxhash64("doc_id", F.lit(1)).alias("order"))
     row = sample.coalesce(1).mapInArrow(_train_in_task(most), "model binary").first()
     return pickle.loads(row[0]) if row else train([], np.zeros(0, np.int64))
 
