@@ -24,6 +24,8 @@ from hustings.llm.textops import steps
 KEPT = 1_200_000
 #: Ids after which a block ends with its document.
 BLOCK = 1 << 14
+#: n_null: documents at the start of the block that have no doc_id.
+BLOCK_ROW = "shard int, block int, before long, n_ids long, n_docs int, n_null int, data binary"
 
 
 def range_edges(docs: DataFrame, shards: int) -> list[float]:
@@ -60,12 +62,11 @@ def _write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def flush() -> pa.RecordBatch:
         nonlocal doc_ids, lengths, held, total, before, number
-        # a null doc_id is the least there is, which no row may have otherwise
-        known = np.array([np.iinfo(np.int64).min if d is None else d for d in doc_ids], np.int64)
-        data = block(known, np.array(lengths), np.concatenate(held))
+        # null doc_ids come first
+        data = block(np.array([d or 0 for d in doc_ids], np.int64), np.array(lengths), np.concatenate(held))
         row = pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([len(lengths)], pa.int32()), pa.array([data], pa.binary())],
-            ["shard", "block", "before", "n_ids", "n_docs", "data"],
+            [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([total], pa.int64()), pa.array([len(lengths)], pa.int32()), pa.array([doc_ids.count(None)], pa.int32()), pa.array([data], pa.binary())],
+            ["shard", "block", "before", "n_ids", "n_docs", "n_null", "data"],
         )
         before, number = before + total, number + 1
         doc_ids, lengths, held, total = [], [], [], 0
@@ -96,20 +97,20 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str, end_id: int, sha
     edges = range_edges(texts, shards)
     coded = texts.mapInArrow(_encode(tokenizer, end_id, edges), "doc_id long, shard int, n long, ids binary")
     dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.mapInArrow(_write_blocks, "shard int, block int, before long, n_ids long, n_docs int, data binary").write.option("compression", "none").parquet(to)
+    dealt.mapInArrow(_write_blocks, BLOCK_ROW).write.option("compression", "none").parquet(to)
 
 
 def _read_blocks(starts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for shard, before, data in zip(*(batch[c].to_pylist() for c in ("shard", "before", "data")), strict=True):
+            for shard, before, nulls, data in zip(*(batch[c].to_pylist() for c in ("shard", "before", "n_null", "data")), strict=True):
                 doc_ids, ends, ids = read_block(data)
                 begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 raw = ids.tobytes()
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64(), mask=doc_ids == np.iinfo(np.int64).min), pa.array(begins + starts[shard] + before), pa.array(ends - begins, pa.int64()), pa.array(crcs, pa.int64())],
+                    [pa.array(doc_ids, pa.int64(), mask=np.arange(len(doc_ids)) < nulls), pa.array(begins + starts[shard] + before), pa.array(ends - begins, pa.int64()), pa.array(crcs, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -118,11 +119,11 @@ def _read_blocks(starts: dict[int, int]):
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, from the files."""
-    files = spark.read.schema("shard int, block int, before long, n_ids long, n_docs int, data binary").parquet(path)
+    files = spark.read.schema(BLOCK_ROW).parquet(path)
     # one row for each shard; their number is a setting
     sizes = dict(files.groupBy("shard").agg(F.sum("n_ids")).collect())
     starts, total = {}, 0
     for shard in sorted(sizes):
         starts[shard] = total
         total += sizes[shard]
-    return files.select("shard", "before", "data").mapInArrow(_read_blocks(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("shard", "before", "n_null", "data").mapInArrow(_read_blocks(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
