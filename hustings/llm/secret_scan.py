@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hustings.llm.store import materialise, whole_texts
@@ -41,6 +42,8 @@ RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
 )
 
+SEEN = "blob binary, rule string, version int"
+FINDINGS = "blob binary, rule string, version int, first long, last long"
 NO_HITS = "array<struct<rule:int,n:int,gap:int,span:int,counted:boolean>>"
 
 
@@ -100,6 +103,25 @@ class Ledger:
     seen: DataFrame
     findings: DataFrame
 
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Ledger:
+        """The ledger below a folder of the shared store; one that was never written is empty."""
+        tables = []
+        for name, schema in (("seen", SEEN), ("findings", FINDINGS)):
+            try:
+                tables.append(spark.read.schema(schema).parquet(f"{path}/{name}"))
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                tables.append(spark.createDataFrame([], schema))
+        return Ledger(*tables)
+
+    def append(self, path: str) -> None:
+        """Add these rows to the ledger below the folder: findings first, so that a pair counts as seen only when they are there.
+        A run that is lost in between is scanned again, and its findings count once."""
+        self.findings.write.mode("append").parquet(f"{path}/findings")
+        self.seen.write.mode("append").parquet(f"{path}/seen")
+
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> tuple[DataFrame, Ledger]:
     """(findings by path, what this scan adds to the ledger).
@@ -120,13 +142,25 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger
     for i, r in enumerate(rules):
         same = F.col("rule") == r.kind
         place, current = F.when(same, i).otherwise(place), current | (same & (F.col("version") == r.version))
-    by_blob = whole.filter(current).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("first", place.alias("place"), F.col("rule").alias("kind"), "last"))).alias("found"))
+    by_blob = whole.filter(current).groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("first", place.alias("place"), F.col("rule").alias("kind"), "last"))).alias("found"))
     nothing = F.array().cast(by_blob.schema["found"].dataType)
     pairs = F.array(*[F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"))) for i, r in enumerate(rules)])
     seen = todo.select("blob", F.explode(F.array_compact(pairs)).alias("x")).select("blob", "x.*")
     return paths.join(by_blob, "blob", "left").withColumn("found", F.coalesce("found", nothing)), Ledger(seen, fresh)
 
 
+def scan_history(versions: list[DataFrame], path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings by path of the last of several versions of a table (see ``secret_scan``), oldest first.
+
+    Each version is scanned against the ledger below ``path`` and adds to it, so a content that several versions
+    or paths have, or that an earlier run has read, is scanned once for each version of a rule."""
+    found = None
+    for docs in versions:
+        found, new = secret_scan(docs, rules, Ledger.read(docs.sparkSession, path))
+        new.append(path)
+    return found
+
+
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, span lists and the hash of the base spans for each path."""
     base = [r.kind for r in rules if r.base]

@@ -167,6 +167,13 @@ def test_token_files(docs, spark, texts, tmp_path):
     assert Counter((r["doc_id"], r["ids_crc32"], r["n_tokens"]) for r in got) == Counter((i, zlib.crc32(x.tobytes()), len(x)) for (i, _), x in zip(texts, ids, strict=True))
 
 
+def test_token_files_of_extreme_ids(spark, tmp_path):
+    rows = [(-(2**63), "least"), (2**63 - 1, "largest"), (None, "none"), (None, ""), (0, None)]
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), WORD, 2, shards=2)
+    got = sorted(token_files.read_token_files(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, -(2**63), 0, 2**63 - 1] and sorted(r["n_tokens"] for r in got) == [1, 1, 2, 2, 2]
+
+
 # 4 and 9 -------------------------------------------------------------------------------------------------------
 
 
@@ -434,6 +441,24 @@ def test_ledger_scans_only_what_is_new(docs, spark):
     assert {r["rule"] for r in more.findings.collect()} == {"hex"}
 
 
+def test_history_scans_each_content_once(spark, docs, tmp_path, monkeypatch):
+    """Through the folder: a version that comes again, in part or whole, brings nothing that is scanned."""
+    asked, plain = [], secret_scan.scan
+    monkeypatch.setattr(secret_scan, "scan", lambda todo, rules=secret_scan.RULES: (asked.append(todo.count()), plain(todo, rules))[1])
+    rows = lambda found: sorted(map(str, secret_scan.digest(found).collect()))
+    want = rows(secret_scan.secret_scan(docs)[0])
+    asked.clear()
+    path = str(tmp_path / "ledger")
+    parts = [docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 = 1"), docs, docs]
+    assert rows(secret_scan.scan_history(parts, path)) == want
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().count()
+    assert sum(asked) == texts and asked[3] == 0 and asked[2] < texts
+    # findings come from the ledger alone when nothing is new; a run that was lost before its pairs were noted counts once
+    ledger = secret_scan.Ledger.read(spark, path)
+    ledger.findings.write.mode("append").parquet(f"{path}/findings")
+    assert rows(secret_scan.scan_history([docs], path)) == want and ledger.seen.count() == texts * len(secret_scan.RULES)
+
+
 # 10 ------------------------------------------------------------------------------------------------------------
 
 
