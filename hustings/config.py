@@ -15,6 +15,8 @@ NUANCE_BLOCS: dict[str, str] = {
     "DVC": "divers", "DIV": "divers", "REG": "divers",
 }
 OTHER_BLOC = "divers"
+#: Tier of each provider, as tables have it.
+TIERS = {"curated": "tier1_curated", "gdelt": "tier2_gdelt", "gnews": "tier3_api"}
 
 COG_COLUMNS = {"COM": "commune_insee", "LIBELLE": "commune_name", "DEP": "dep_code", "REG": "reg_code", "TYPECOM": "typecom"}
 SEATS_COLUMNS = {

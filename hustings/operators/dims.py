@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hustings.config import CANDIDATE_COLUMNS, COG_COLUMNS, DEFAULTS, INCUMBENT_COLUMNS, SEATS_COLUMNS, Settings
@@ -77,9 +77,10 @@ def with_full_name(df: DataFrame) -> DataFrame:
 
 def collision_counts(df: DataFrame, name: str = "full_name", count: str = "same_name_candidate_count") -> DataFrame:
     """How many rows share the normalised name; null where the name is empty."""
-    key = normalize_name(name)
-    n = F.count(F.lit(1)).over(Window.partitionBy("_norm"))
-    return df.withColumn("_norm", key).withColumn(count, F.when(F.col("_norm") != "", n)).drop("_norm")
+    named = df.withColumn("_norm", F.nullif(normalize_name(name), F.lit("")))
+    # counted before they meet, so rows of one very common name never stand in one task; empty names meet nowhere
+    counts = named.filter("_norm IS NOT NULL").groupBy(F.col("_norm").alias("_counted")).agg(F.count(F.lit(1)).alias(count))
+    return named.drop(count).join(counts, F.col("_norm") == F.col("_counted"), "left").drop("_norm", "_counted")
 
 
 def incumbents(df: DataFrame) -> DataFrame:

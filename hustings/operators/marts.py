@@ -26,10 +26,18 @@ def exposure(mentions: DataFrame, population: DataFrame | None = None) -> DataFr
 
 def lexicon_counts(texts: DataFrame, lexicon: Iterable[tuple[str, str]], key: str = "article_id", text: str = "body_text") -> DataFrame:
     """Occurrences of each category's words in each text, and by 1,000 words. lexicon: (category, word)."""
-    table = F.create_map(*[F.lit(x) for category, word in lexicon for x in (word, category)])
-    words = F.filter(F.split(normalize_match(text), " "), lambda w: w != "")
-    rows = texts.select(key, F.size(words).alias("word_count"), F.explode(F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda c: c.isNotNull())).alias("category"))
-    counts = rows.groupBy(key, "category").agg(F.count(F.lit(1)).alias("count"), F.first("word_count").alias("word_count"))
+    by_word: dict[str, list[str]] = {}
+    for category, word in lexicon:
+        by_word.setdefault(word, []).append(category)
+    if not by_word:
+        by_word = {"": []}
+    # texts are normalised and split once, and only words of the lexicon go on
+    split = texts.select(key, F.filter(F.split(normalize_match(text), " "), lambda w: w != "").alias("_words"))
+    rows = split.select(key, F.size("_words").alias("word_count"), F.explode("_words").alias("_word")).filter(F.col("_word").isin(*by_word))
+    counts = rows.groupBy(key, "_word").agg(F.count(F.lit(1)).alias("count"), F.first("word_count").alias("word_count"))
+    table = F.create_map(*[x for word, categories in by_word.items() for x in (F.lit(word), F.array(*[F.lit(c) for c in categories]).cast("array<string>"))])
+    counts = counts.select(key, "count", "word_count", F.explode(F.try_element_at(table, F.col("_word"))).alias("category"))
+    counts = counts.groupBy(key, "category").agg(F.sum("count").alias("count"), F.first("word_count").alias("word_count"))
     return counts.withColumn("per_1k_words", F.col("count") * 1000.0 / F.col("word_count"))
 
 
@@ -99,6 +107,10 @@ def embedding_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vecto
     return dealt.groupBy("dims", "lo", "hi").applyInArrow(_tile_pairs(least), f"a {kind}, b {kind}, similarity double")
 
 
+#: Ranges of values that ranks are worked out in.
+RANGES = 64
+
+
 def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     """One row: chi-square statistic and degrees of freedom of a contingency table."""
     cells = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
@@ -113,10 +125,22 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, first: object, second: object) -> DataFrame:
-    """One row: U of the first group against the second, ties at half; ranks come from counts of distinct values."""
-    by_value = df.filter(F.col(group).isin(first, second)).groupBy(value).agg(F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) == second).alias("n2"))
-    below = F.coalesce(F.sum("n2").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by_value.withColumn("u", F.col("n1") * (below + F.col("n2") / 2)).agg(F.sum("u").alias("u"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    """One row: U of the first group against the second, ties at half; ranks come from counts of distinct values.
+
+    Values, which are numbers, are cut into ``RANGES`` of about as many each; sums within a range and sums of the
+    ranges before it make the rank, so no task has all values. Rows without a value don't count.
+    """
+    values = df.filter(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    by_value = values.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) == second).alias("n2"))
+    edges = sorted(set(by_value.select(F.col("v").cast("double")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 1 / (4 * RANGES))))
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col("v"))) if edges else F.lit(0)
+    placed = by_value.withColumn("part", part)
+    sums = placed.groupBy("part").agg(F.sum("n2").alias("own"))
+    # one row for each range
+    sums = sums.select("part", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    below = F.col("earlier") + F.coalesce(F.sum("n2").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    u = F.col("n1") * (below + F.col("n2") / 2)
+    return placed.join(F.broadcast(sums), "part").withColumn("u", u).agg(F.sum("u").alias("u"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
 
 
 def poisson_regression(df: DataFrame, target: str, features: list[str], offset: str | None = None):

@@ -82,12 +82,17 @@ def bronze_hits(hits: DataFrame, raw_documents: DataFrame, now: Column | None =
 def outlet_counters(documents: DataFrame) -> DataFrame:
     """Counters of each outlet from its documents: (outlet_key, doc_seq, fetched, parsed, entry_count,
     window_entry_count, warning, error_type, request_url)."""
+    # by URL first, so that an outlet's row holds its distinct URLs and not its documents
+    by_url = documents.groupBy("outlet_key", "request_url").agg(
+        F.min("doc_seq").alias("doc_seq"), F.count_if("fetched").alias("documents_fetched"), F.count_if("parsed").alias("documents_parsed"), F.sum("entry_count").alias("entry_count"),
+        F.sum("window_entry_count").alias("window_entry_count"), F.count_if("warning").alias("warning_count"), F.collect_set(F.nullif(F.col("error_type"), F.lit(""))).alias("error_types"),
+    )
     ordered = F.array_sort(F.collect_list(F.struct("doc_seq", "request_url")))
-    return documents.groupBy("outlet_key").agg(
-        F.count_if("fetched").alias("documents_fetched"), F.count_if("parsed").alias("documents_parsed"), F.coalesce(F.sum("entry_count"), F.lit(0)).alias("entry_count"),
-        F.coalesce(F.sum("window_entry_count"), F.lit(0)).alias("window_entry_count"), F.count_if("warning").alias("warning_count"),
-        F.sort_array(F.collect_set(F.nullif(F.col("error_type"), F.lit("")))).alias("error_types"),
-        F.array_distinct(F.transform(ordered, lambda x: x["request_url"])).alias("request_urls"),
+    return by_url.groupBy("outlet_key").agg(
+        F.sum("documents_fetched").alias("documents_fetched"), F.sum("documents_parsed").alias("documents_parsed"), F.coalesce(F.sum("entry_count"), F.lit(0)).alias("entry_count"),
+        F.coalesce(F.sum("window_entry_count"), F.lit(0)).alias("window_entry_count"), F.sum("warning_count").alias("warning_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("error_types")))).alias("error_types"),
+        F.transform(ordered, lambda x: x["request_url"]).alias("request_urls"),
     )
 
 

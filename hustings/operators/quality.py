@@ -49,8 +49,10 @@ def tag(df: DataFrame, checks: Sequence[tuple[Column, str]], key: str | None, or
     df = df.withColumn(REASON, reason)
     if key is None:
         return df
-    place = F.row_number().over(Window.partitionBy(key, F.col(REASON).isNull()).orderBy(*order))
-    return df.withColumn(REASON, F.when(F.col(REASON).isNull() & (place > 1), duplicate).otherwise(F.col(REASON)))
+    # only good rows are ranked; the others, many of which may have no key, stay apart from each other
+    df = df.withColumn("_apart", F.when(F.col(REASON).isNotNull(), F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy(key, "_apart").orderBy(*order))
+    return df.withColumn(REASON, F.when(F.col(REASON).isNull() & (place > 1), duplicate).otherwise(F.col(REASON))).drop("_apart")
 
 
 def split(tagged: DataFrame, clean_columns: Sequence[str] | None = None) -> Split:

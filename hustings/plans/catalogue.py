@@ -335,8 +335,8 @@ _MATCH_SQL = "trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ',
 
 @query("normalize_name", f"SELECT doc_id, md5({_NAME_SQL.format(c='text')}) AS name_md5, length({_NAME_SQL.format(c='text')}) AS n FROM documents")
 def _(spark, d):
-    name = text.normalize_name("text")
-    return t(spark, d, "documents").select("doc_id", F.md5(name).alias("name_md5"), F.length(name).cast("bigint").alias("n"))
+    named = t(spark, d, "documents").select("doc_id", text.normalize_name("text").alias("name"))
+    return named.select("doc_id", F.md5("name").alias("name_md5"), F.length("name").cast("bigint").alias("n"))
 
 
 @query("normalize_text", f"SELECT doc_id, {_MATCH_SQL.format(c='text')} AS normalized FROM documents")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hustings.config import DEFAULTS, OUTLETS, Settings
+from hustings.config import DEFAULTS, OUTLETS, TIERS, Settings
 from hustings.functions.dates import api_time, event_time, request_time, within
 from hustings.functions.text import event_query, generic_query, outlet_from_domain
 from hustings.functions.url import canonical_url
@@ -110,7 +110,7 @@ def curated(cases: DataFrame, bundle: DataFrame, read_article: Callable[[DataFra
     again = screen(read.select(*own, F.col("leader_id").alias("_for")), cases, F.col("_body")).filter("leader_id = _for AND is_match").drop("_for")
     again = again.withColumns({"article_url": F.col("_resolved"), "query_strategy": F.lit("rss_sitemap_body_verify")})
     hits = sure.select(*CASE_COLUMNS, "outlet_key", "title", "published_at", "raw_document_key", "article_url", "query_strategy", "doc_seq", "entry_seq").unionByName(again.select(*CASE_COLUMNS, "outlet_key", "title", "published_at", "raw_document_key", "article_url", "query_strategy", "doc_seq", "entry_seq"))
-    hits = hits.withColumns({"provider": F.lit("curated"), "provider_tier": F.lit("tier_1"), "domain": F.col("outlet_key"), "language": F.lit("fr"), "raw_payload_path": F.col("raw_document_key"), "query_text": generic_query("full_name", F.col("commune_name"))})
+    hits = hits.withColumns({"provider": F.lit("curated"), "provider_tier": F.lit(TIERS["curated"]), "domain": F.col("outlet_key"), "language": F.lit("fr"), "raw_payload_path": F.col("raw_document_key"), "query_text": generic_query("full_name", F.col("commune_name"))})
     hits = hits.withColumn(HIT_SEQ, F.row_number().over(Window.partitionBy("leader_id").orderBy("doc_seq", "entry_seq", "article_url")))
     hits = conform(hits, SEARCH_HIT + f", {HIT_SEQ} bigint")
 
@@ -126,19 +126,28 @@ def curated(cases: DataFrame, bundle: DataFrame, read_article: Callable[[DataFra
     found = hits.groupBy("leader_id", "outlet_key").agg(F.count(F.lit(1)).alias("hit_count"))
     diagnostics = per_case.join(found, ["leader_id", "outlet_key"], "left").withColumn("hit_count", F.coalesce("hit_count", F.lit(0)))
     status = outlet_status(F.col("hit_count"), F.col("documents_fetched"), F.col("documents_parsed"), F.col("entry_count"), F.col("window_entry_count"))
-    diagnostics = conform(diagnostics.withColumns({"outlet_status": status, "provider": F.lit("curated"), "provider_tier": F.lit("tier_1")}), OUTLET_DIAGNOSTIC)
+    diagnostics = conform(diagnostics.withColumns({"outlet_status": status, "provider": F.lit("curated"), "provider_tier": F.lit(TIERS["curated"])}), OUTLET_DIAGNOSTIC)
 
     whole = bundle.agg(F.count_if("fetched").alias("ok"), F.count_if(~F.col("fetched") | ~(F.col("parsed") | F.col("index"))).alias("warnings"), F.array_join(F.array_sort(F.collect_set("request_url")), ";").alias("request_url"))
     counts = hits.groupBy("leader_id").agg(F.count(F.lit(1)).alias("n"))
     audits = cases.join(counts, "leader_id", "left").join(F.broadcast(whole)).withColumn("provider_hit_count", F.coalesce("n", F.lit(0)))
     audits = audits.withColumns({
-        "provider": F.lit("curated"), "provider_tier": F.lit("tier_1"), "provider_error_type": F.when(F.col("ok") == 0, "all_connectors_failed"),
+        "provider": F.lit("curated"), "provider_tier": F.lit(TIERS["curated"]), "provider_error_type": F.when(F.col("ok") == 0, "all_connectors_failed"),
         "provider_status": F.when(F.col("ok") == 0, "error").otherwise(provider_status(F.col("provider_hit_count"))), "provider_warning_count": F.col("warnings"),
     }).drop("ok", "warnings", "n")
-    raw = bundle.filter("fetched").select("outlet_key", "url", F.col("request_url").alias("source_url"), F.col("body").alias("payload"), F.size("entries").alias("row_count"))
+    # the documents that entries come from, under the key that their hits have
+    number = F.row_number().over(Window.partitionBy("outlet_key").orderBy("doc_seq"))
+    raw = bundle.filter("parsed AND fetched").withColumn("n", number).select(key.alias("raw_document_key"), "outlet_key", "url", F.col("request_url").alias("source_url"), F.col("body").alias("payload"), F.size("entries").alias("row_count"))
     return Found(hits, audits, raw, diagnostics)
 
 
+def search_outlets(spark: SparkSession, case: DataFrame, transport: Transport, s: Settings = DEFAULTS, sleep: Callable[[float], None] = time.sleep) -> Found:
+    """The catalog's outlets searched for one candidate (a row of cases with its window), raw documents included."""
+    window = case.select("window_start", "window_end").first()
+    bundle = curated_bundle(spark, outlets(spark), tuple(window), transport, s, sleep)
+    return curated(case, bundle, article_reader(transport, s, sleep), s, window[1].isoformat())
+
+
 def _entry_day(e):
     from hustings.functions.dates import feed_time
 
@@ -217,7 +226,7 @@ def event_index(cases: DataFrame, transport: Transport, s: Settings = DEFAULTS,
     rows = every.withColumn("raw_document_key", key).select("*", F.posexplode("articles").alias("entry_seq", "a"))
     domain = outlet_from_domain(F.col("a.domain"))
     hits = rows.withColumns({
-        "provider": F.lit("gdelt"), "provider_tier": F.lit("tier_2"), "article_url": F.coalesce("a.url", F.lit("")), "title": F.coalesce("a.title", F.lit("")), "published_at": event_time("a.seendate"),
+        "provider": F.lit("gdelt"), "provider_tier": F.lit(TIERS["gdelt"]), "article_url": F.coalesce("a.url", F.lit("")), "title": F.coalesce("a.title", F.lit("")), "published_at": event_time("a.seendate"),
         "domain": domain, "outlet_key": outlet_from_domain(F.col("a.domain"), "gdelt"), "language": F.lower(F.when(F.coalesce("a.language", F.lit("")) == "", "fr").otherwise(F.col("a.language"))), "raw_payload_path": F.col("raw_document_key"),
     })
     hits = hits.withColumn(HIT_SEQ, F.row_number().over(Window.partitionBy("leader_id").orderBy("step", "request_start", "query_strategy", "entry_seq")))
@@ -225,7 +234,7 @@ def event_index(cases: DataFrame, transport: Transport, s: Settings = DEFAULTS,
     hits = hits.withColumn("_c", canonical_url("article_url")).withColumn("_n", F.row_number().over(Window.partitionBy("leader_id", "_c").orderBy(HIT_SEQ))).filter("_n = 1")
     hits = conform(hits, SEARCH_HIT + f", {HIT_SEQ} bigint")
     raw = every.filter("error = ''").select("leader_id", key.alias("raw_document_key"), F.col("safe_url").alias("source_url"), F.col("body").alias("payload"), F.size("articles").alias("row_count"), F.date_format("request_start", "yyyy-MM-dd").alias("partition_date"))
-    return Found(hits, _audits(cases, hits, every, "gdelt", "tier_2"), raw)
+    return Found(hits, _audits(cases, hits, every, "gdelt", TIERS["gdelt"]), raw)
 
 
 def _audits(cases: DataFrame, hits: DataFrame, answers: DataFrame, provider: str, tier: str) -> DataFrame:
@@ -278,13 +287,13 @@ def search_api(cases: DataFrame, transport: Transport, s: Settings = DEFAULTS, s
 
     host = domain_of(F.coalesce("a.url", F.lit("")))
     hits = rows.withColumns({
-        "provider": F.lit("gnews"), "provider_tier": F.lit("tier_3"), "article_url": F.coalesce("a.url", F.lit("")), "title": F.coalesce("a.title", F.lit("")), "published_at": api_time("a.publishedAt"),
-        "domain": host, "outlet_key": host, "language": F.lit("fr"), "query_strategy": F.lit("generic"), "raw_payload_path": F.col("raw_document_key"),
+        "provider": F.lit("gnews"), "provider_tier": F.lit(TIERS["gnews"]), "article_url": F.coalesce("a.url", F.lit("")), "title": F.coalesce("a.title", F.lit("")), "published_at": api_time("a.publishedAt"),
+        "domain": host, "outlet_key": host, "language": F.lit("fr"), "query_strategy": F.lit("gnews_search"), "raw_payload_path": F.col("raw_document_key"),
     })
     hits = hits.withColumn(HIT_SEQ, F.row_number().over(Window.partitionBy("leader_id").orderBy("page", "entry_seq")))
     hits = dedup_within_query(conform(hits, SEARCH_HIT + f", {HIT_SEQ} bigint"))
     raw = answers.filter("error = ''").select("leader_id", doc.alias("raw_document_key"), F.col("safe_url").alias("source_url"), F.col("body").alias("payload"), F.size("articles").alias("row_count"), F.date_format("window_start", "yyyy-MM-dd").alias("partition_date"))
-    return Found(hits, _audits(cases, hits, answers, "gnews", "tier_3"), raw)
+    return Found(hits, _audits(cases, hits, answers, "gnews", TIERS["gnews"]), raw)
 
 
 def provider(name: str) -> str:
