@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from collections.abc import Iterable
+from html import entities
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,20 +16,22 @@ from hustings.config import ELECTION_KEYWORDS, NUANCE_BLOCS, OTHER_BLOC
 SPACE = r"[\s\x1c-\x1f\u0085   -     　]"
 
 
-def _fold_table(limit: int = 0x2C00) -> tuple[str, str]:
-    """(letters with an ASCII base, their bases): derived from Unicode's decompositions."""
-    src, dst = [], []
-    for code in range(0x80, limit):
-        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and unicodedata.normalize("NFD", chr(code)) != chr(code):
-            src.append(chr(code))
+def _fold_table() -> tuple[str, str, str]:
+    """(letters that decompose to one letter and marks, those letters, marks): derived from Unicode's decompositions."""
+    src, dst, marks = [], [], []
+    for char in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        if unicodedata.category(char) == "Mn":
+            marks.append(char)
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+        if len(base) == 1 and base != char:
+            src.append(char)
             dst.append(base)
-    return "".join(src), "".join(dst)
+    return "".join(src), "".join(dst), "".join(marks)
 
 
-FOLD_FROM, FOLD_TO = _fold_table()
 #: ``translate`` drops what has no partner: combining marks vanish.
-MARKS = "".join(map(chr, range(0x300, 0x370)))
+FOLD_FROM, FOLD_TO, MARKS = _fold_table()
 
 
 def strip(c: Column | str) -> Column:
@@ -129,18 +133,55 @@ def generic_query(name: Column | str, commune: Column | str) -> Column:
     return F.format_string('"%s" "%s" (' + " OR ".join(ELECTION_KEYWORDS) + ")", aliases(name)["natural_accented"], commune)
 
 
-#: Entities that article texts hold; the ampersand comes last so that nothing is unescaped twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&amp;", "&"))
+#: A character reference as HTML has it: a number, or a name that may lack its semicolon.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _numbered() -> dict[int, str]:
+    """Numbers that stand for another character than their own, by the library's rules."""
+    return {n: html.unescape(f"&#{n};") for n in range(256) if html.unescape(f"&#{n};") != chr(n)}
+
+
+def _names() -> tuple[Column, Column, str]:
+    """(characters by name, those of names that need no semicolon, a pattern of the latter, long ones first)."""
+    bare = {k: v for k, v in entities.html5.items() if not k.endswith(";")}
+    table = lambda names: F.map_from_arrays(F.split(F.lit("\n".join(names)), "\n"), F.split(F.lit("\x00".join(names.values())), "\x00"))
+    return table({k: v for k, v in entities.html5.items() if v != "\n"}), table(bare), "^(" + "|".join(sorted(bare, key=len, reverse=True)) + ")"
+
+
+def unescape_html(c: Column | str) -> Column:
+    """Character references resolved once, as browsers do: all names, numbers, and old names without a semicolon."""
+    c = F.col(c) if isinstance(c, str) else c
+    every, bare, pattern = _names()
+    other = F.create_map(*[x for n, v in _numbered().items() for x in (F.lit(n), F.lit(v))])
+
+    def number(ref: Column) -> Column:
+        hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+        digits = F.regexp_replace(F.regexp_replace(ref, "^#[xX]?0*|;$", ""), "^$", "0")
+        n = F.when(F.length(digits) > 7, 0x110000).otherwise(F.conv(digits, 10, 10).cast("int"))
+        n = F.when(hexed, F.when(F.length(digits) > 6, 0x110000).otherwise(F.conv(digits, 16, 10).cast("int"))).otherwise(n)
+        no_character = (n.between(0xFDD0, 0xFDEF)) | ((n >= 0xFFFE) & (n % 0x10000 >= 0xFFFE)) | (n == 0xB) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(1, 8)
+        char = F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")
+        return F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").otherwise(F.coalesce(F.try_element_at(other, n), F.when(no_character, "").otherwise(char)))
+
+    def named(ref: Column) -> Column:
+        old = F.regexp_extract(ref, pattern, 1)
+        short = F.when(old != "", F.concat(F.try_element_at(bare, old), F.substring(ref, F.length(old) + 1, F.lit(40))))
+        return F.coalesce(F.when(ref == "NewLine;", "\n"), F.try_element_at(every, ref), short, F.concat(F.lit("&"), ref))
+
+    refs = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1))
+    gaps = F.split(c, REFERENCE, -1)
+    resolved = F.transform(refs, lambda r: F.when(r.startswith("#"), number(r)).otherwise(named(r)))
+    whole = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(refs)).alias("gap"), resolved.alias("char")), lambda x: F.concat(x["gap"], x["char"])), ""), F.element_at(gaps, -1))
+    return F.when(F.contains(c, F.lit("&")) & (F.size(refs) > 0), whole).otherwise(c)
 
 
 def strip_html(c: Column | str, unescape: bool = True) -> Column:
-    """Text for matching: scripts and styles dropped, tags as spaces, entities resolved."""
+    """Text for matching: scripts and styles dropped, tags as spaces, character references resolved."""
     c = F.col(c) if isinstance(c, str) else c
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, "<[^>]+>", " ")
-    for entity, char in ENTITIES if unescape else ():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    return unescape_html(c) if unescape else c
 
 
 def path_token(c: Column | str, most: int) -> Column:

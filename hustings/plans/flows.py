@@ -19,7 +19,7 @@ from hustings.operators.news import HIT_SEQ, articles, bronze_hits, discoveries,
 from hustings.operators.sampling import build_sample, manifest
 from hustings.operators.windows import daily_window, provider_window, resolve_window
 from hustings.plans.lineage import Lineage
-from hustings.sources.files import read_cases, read_csv, read_workbook, with_provenance
+from hustings.sources.files import exists, file_md5, read_cases, read_csv, read_workbook, with_provenance
 from hustings.sources.http import Transport
 from hustings.sources.providers import Found, article_reader, curated, curated_bundle, event_index, outlets, provider, search_api
 from hustings.sources.writers import distinct_in_order, raw_documents, write_bronze, write_raw, write_split, write_table, write_text
@@ -48,7 +48,9 @@ class Run:
 
 
 def ingest(spark: SparkSession, source: Source, to: str, lineage: Lineage | None = None, md5: str = "", now: datetime | None = None) -> DataFrame:
-    """A raw file to its bronze table, with provenance, and a snapshot in the lineage."""
+    """A raw file to its bronze table, with provenance, and a snapshot in the lineage; the file's MD5 unless one is given."""
+    if exists(spark, source.path):
+        md5 = md5 or file_md5(spark, source.path).agg(F.min("md5")).first()[0] or ""
     df = read_workbook(spark, source.path) if source.kind == "xlsx" else read_csv(spark, source.path, source.sep)
     df = with_provenance(df, source.url, md5, now)
     write_table(df, to)

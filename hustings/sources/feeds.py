@@ -7,70 +7,83 @@ from pyspark.sql import functions as F
 
 from hustings.functions.dates import feed_time
 
-_ITEM = r"(?is)<item\b[^>]*>(.*?)</item\s*>"
-_ENTRY = r"(?is)<(?:\w+:)?entry\b[^>]*>(.*?)</(?:\w+:)?entry\s*>"
-_URL = r"(?is)<(?:\w+:)?url\b[^>]*>(.*?)</(?:\w+:)?url\s*>"
-_SITEMAP = r"(?is)<(?:\w+:)?sitemap\b[^>]*>(.*?)</(?:\w+:)?sitemap\s*>"
+_PAGE = "array<struct<loc:string,lastmod:string>>"
+_ITEM = "array<struct<title:string,link:string,pubDate:string>>"
+#: What the parser takes of a document, whatever its root; a document that it refuses is in ``_corrupt``.
+SCHEMA = (
+    f"channel array<struct<item:{_ITEM}>>, item {_ITEM}, entry array<struct<title:string,link:array<struct<_href:string>>,updated:string,published:string>>, "
+    f"url {_PAGE}, sitemap {_PAGE}, _corrupt string"
+)
+OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true", "attributePrefix": "_", "nullValue": "\x00"}
 
 
-def _inner(c: Column, tag: str) -> Column:
-    """Text of an element's first child of a name, CDATA unwrapped, the basic entities resolved."""
-    raw = F.regexp_extract(c, rf"(?is)<(?:\w+:)?{tag}\b[^>]*>(.*?)</(?:\w+:)?{tag}\s*>", 1)
-    text = F.trim(F.regexp_replace(raw, r"(?is)<!\[CDATA\[(.*?)\]\]>", "$1"))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def _parts(c: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+def parsed_xml(c: Column) -> Column:
+    """The document as a struct of ``SCHEMA``; null without one."""
+    return F.from_xml(F.when(F.trim(c) != "", c), SCHEMA, OPTIONS)
 
 
 def root_tag(c: Column) -> Column:
     """Local name of a document's root element, in lower case; '' without one."""
     bare = F.regexp_replace(c, r"(?s)^\s*(<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*", "")
-    return F.lower(F.regexp_extract(bare, r"^<(?:\w+:)?(\w+)", 1))
+    return F.lower(F.regexp_extract(bare, r"^<(?:[\w.-]+:)?([\w.-]+)", 1))
 
 
 def well_formed(c: Column) -> Column:
     """Whether the XML parser takes the document and its root is a feed's or a sitemap's; errors never stop a job."""
-    root = root_tag(c)
-    closed = F.regexp_extract(F.lower(c), r"(?s)</(?:\w+:)?(\w+)\s*>\s*(?:<!--.*?-->\s*)*$", 1) == root
-    return root.isin("rss", "feed", "rdf", "urlset", "sitemapindex") & closed
+    x, root = parsed_xml(c), root_tag(c)
+    # the parser stops at the end of the root: nothing but comments may come after it
+    rest = r"\s*(?:<!--.*?-->\s*)*$"
+    closed = F.regexp_extract(F.lower(c), r"(?s)</(?:[\w.-]+:)?([\w.-]+)\s*>" + rest, 1) == root
+    return root.isin("rss", "feed", "rdf", "urlset", "sitemapindex") & x.isNotNull() & x["_corrupt"].isNull() & (closed | c.rlike("(?s)/>" + rest))
 
 
 def is_index(c: Column) -> Column:
-    return (root_tag(c) == "sitemapindex") | (F.size(_parts(c, _SITEMAP)) > 0)
+    return (root_tag(c) == "sitemapindex") | (F.coalesce(F.size(parsed_xml(c)["sitemap"]), F.lit(0)) > 0)
 
 
 _ROW = "struct<title:string,link:string,published:string>"
 
 
 def _entry(title: Column, link: Column, published: Column) -> Column:
-    return F.struct(title.alias("title"), link.alias("link"), published.alias("published"))
+    def text(x: Column) -> Column:
+        # what feeds put into CDATA is often escaped once more
+        x = F.coalesce(F.trim(x), F.lit(""))
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(entity), F.lit(char))
+        return x
+
+    return F.struct(text(title).alias("title"), text(link).alias("link"), text(published).alias("published"))
+
+
+def _each(rows: Column, make) -> Column:
+    return F.coalesce(F.transform(rows, make), F.array().cast(f"array<{_ROW}>"))
 
 
-def entries_of(c: Column) -> Column:
+def entries_of(c: Column, x: Column | None = None) -> Column:
     """Array of (title, link, published) of a document: items of RSS, entries of Atom, or URLs of a sitemap, whose
-    title is their location."""
-    items = F.transform(_parts(c, _ITEM), lambda x: _entry(_inner(x, "title"), _inner(x, "link"), _inner(x, "pubDate")))
-    href = lambda x: F.regexp_extract(x, r"""(?is)<(?:\w+:)?link\b[^>]*?href=["']([^"']*)["']""", 1)
-    stamp = lambda x: F.when(_inner(x, "updated") != "", _inner(x, "updated")).otherwise(_inner(x, "published"))
-    atoms = F.transform(_parts(c, _ENTRY), lambda x: _entry(_inner(x, "title"), href(x), stamp(x)))
-    urls = F.transform(_parts(c, _URL), lambda x: _entry(_inner(x, "loc"), _inner(x, "loc"), _inner(x, "lastmod")))
+    title is their location. x: the document as ``parsed_xml`` gives it, if it is at hand."""
+    x = parsed_xml(c) if x is None else x
+    none = F.array().cast(_ITEM)
+    inner = F.flatten(F.transform(F.coalesce(x["channel"], F.array().cast(f"array<struct<item:{_ITEM}>>")), lambda k: F.coalesce(k["item"], none)))
+    items = _each(F.concat(inner, F.coalesce(x["item"], none)), lambda i: _entry(i["title"], i["link"], i["pubDate"]))
+    stamp = lambda e: F.coalesce(F.nullif(F.trim(e["updated"]), F.lit("")), e["published"])
+    atoms = _each(x["entry"], lambda e: _entry(e["title"], F.get(e["link"], F.lit(0))["_href"], stamp(e)))
+    urls = _each(x["url"], lambda u: _entry(u["loc"], u["loc"], u["lastmod"]))
     root = root_tag(c)
     return F.when(root == "urlset", urls).when(root.isin("rss", "rdf"), items).when(root == "feed", atoms).otherwise(F.array().cast(f"array<{_ROW}>"))
 
 
 def children_of(c: Column) -> Column:
     """Array of (loc, lastmod) of a sitemap index in document order; lastmod null if it isn't told."""
-    return F.transform(_parts(c, _SITEMAP), lambda x: F.struct(_inner(x, "loc").alias("loc"), F.nullif(_inner(x, "lastmod"), F.lit("")).alias("lastmod")))
+    rows = F.coalesce(parsed_xml(c)["sitemap"], F.array().cast(_PAGE))
+    return F.transform(rows, lambda s: F.struct(F.coalesce(F.trim(s["loc"]), F.lit("")).alias("loc"), F.nullif(F.trim(s["lastmod"]), F.lit("")).alias("lastmod")))
 
 
 def parse_documents(documents: DataFrame, text: str = "body") -> DataFrame:
     """documents with ``parsed`` and ``entries`` columns; a malformed one has no entries and parsed is false."""
     ok = well_formed(F.col(text)) & ~is_index(F.col(text))
-    return documents.withColumn("parsed", F.coalesce(ok, F.lit(False))).withColumn("entries", F.when(F.col("parsed"), entries_of(F.col(text))).otherwise(F.array().cast(f"array<{_ROW}>")))
+    x = documents.withColumn("parsed", F.coalesce(ok, F.lit(False))).withColumn("_xml", F.when(F.col("parsed"), parsed_xml(F.col(text))))
+    return x.withColumn("entries", F.when(F.col("parsed"), entries_of(F.col(text), F.col("_xml"))).otherwise(F.array().cast(f"array<{_ROW}>"))).drop("_xml")
 
 
 def explode_entries(parsed: DataFrame, keep: list[str]) -> DataFrame:

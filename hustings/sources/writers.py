@@ -46,19 +46,21 @@ LEAF = ("window_start", "window_end", "provider", "leader_id")
 
 
 def write_bronze(df: DataFrame, root: str) -> str:
-    """Rows below window_start=/window_end=/provider=/leader_id=, which the files hold as columns too."""
-    copies = {f"_p_{c}": F.col(c) for c in LEAF}
-    renamed = df.withColumns(copies)
+    """Rows below window_start=/window_end=/provider=/leader_id=; the files hold these columns too, as ``_own_`` ones."""
     # one task writes a leaf's rows together; a large leaf is split by AQE's rebalance
-    out = renamed.hint("rebalance", *[f"_p_{c}" for c in LEAF])
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*[f"_p_{c}" for c in LEAF]).parquet(root)
+    out = df.withColumns({f"_own_{c}": F.col(c) for c in LEAF}).hint("rebalance", *LEAF)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LEAF).parquet(root)
     return root
 
 
 def read_bronze(spark: SparkSession, root: str) -> DataFrame:
-    """The rows with their own columns; partition values, which repeat them, are dropped unread."""
-    df = spark.read.option("recursiveFileLookup", "true").parquet(root)
-    return df.drop(*[c for c in df.columns if c.startswith("_p_")])
+    """The rows with their columns; filters on those of the folders read only these."""
+    kept = spark.read.option("recursiveFileLookup", "true").parquet(root).schema
+    own = [c for c in kept.names if not c.startswith("_own_")]
+    types = ", ".join(f"`{c}` {kept[c if c in own else f'_own_{c}'].dataType.simpleString()}" for c in [*own, *LEAF])
+    # with types of their own, codes in folder names keep their leading zeros
+    df = spark.read.schema(types).parquet(root)
+    return df.select(*LEAF, *own)
 
 
 def scope_segment(name: Column, value: Column) -> Column:

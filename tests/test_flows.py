@@ -300,3 +300,43 @@ def test_command_line_fails_with_one(spark, capsys, monkeypatch, tmp_path):
     monkeypatch.setenv("WAREHOUSE_PATH", str(tmp_path / "w"))
     assert main(["sample", "--sources", "/nowhere", "--out", "/tmp/hustings-none"]) == 1
     assert "failed" in capsys.readouterr().err
+
+
+def test_malformed_feeds_are_refused(spark):
+    bad = ["<rss><channel><item><title>A & B <b></title></item></channel></rss>", "<rss><channel></rss>", RSS + "<", SITEMAP.replace("x.fr/3", "x.fr/&eacute;"), "text", ""]
+    rows = feeds.parse_documents(spark.createDataFrame([(b,) for b in bad], "body string")).collect()
+    assert [(r["parsed"], list(r["entries"])) for r in rows] == [(False, [])] * len(bad)
+    many = "<rss version='2.0'><channel><title>t</title>" + "".join(f"<item><title>n{i}</title><link> https://x.fr/{i} </link></item>" for i in range(30)) + "</channel></rss>"
+    plain = "<rdf:RDF xmlns:rdf='r' xmlns='s'><item><title type='x'>a</title></item></rdf:RDF>"
+    empty = "<rss><channel><title>none</title></channel></rss>"
+    got = feeds.parse_documents(spark.createDataFrame([(many,), (plain,), (empty,)], "body string")).collect()
+    assert [len(r["entries"]) for r in got] == [30, 1, 0] and all(r["parsed"] for r in got)
+    assert got[0]["entries"][7] == ("n7", "https://x.fr/7", "") and got[1]["entries"][0]["title"] == "a"
+
+
+def test_bronze_folders_have_plain_names(spark, tmp_path):
+    rows = spark.createDataFrame([("2026-03-09", "2026-03-22", "gdelt", f"0{k}", f"u{k}") for k in range(3)], "window_start string, window_end string, provider string, leader_id string, article_url string")
+    root = writers.write_bronze(rows, str(tmp_path / "b"))
+    assert (tmp_path / "b/window_start=2026-03-09/window_end=2026-03-22/provider=gdelt/leader_id=01").is_dir()
+    one = writers.read_bronze(spark, root).filter("leader_id = '01'")
+    assert [tuple(r) for r in one.collect()] == [("2026-03-09", "2026-03-22", "gdelt", "01", "u1")] and len(one.inputFiles()) == 3
+    assert "PartitionFilters: [isnotnull(leader_id" in one._jdf.queryExecution().toString()
+
+
+def test_public_names():
+    import hustings
+
+    for name in hustings.__all__:
+        assert getattr(hustings, name) is not None
+    with pytest.raises(AttributeError):
+        hustings.nothing
+
+
+def test_source_hashes_are_the_files(spark, tmp_path):
+    import hashlib
+
+    sources = raw_files(tmp_path)
+    log = Lineage(spark, str(tmp_path / "meta"))
+    out = flows.ingest(spark, sources["geography"], str(tmp_path / "bronze"), log)
+    want = hashlib.md5((tmp_path / "raw/geography.csv").read_bytes()).hexdigest()
+    assert {r["_source_hash"] for r in out.collect()} == {want} and latest_hash(log.snapshots, "geography") == want

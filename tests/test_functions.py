@@ -118,3 +118,19 @@ def test_keys_keep_places_of_missing_parts(spark):
 
     row = spark.range(1).select(keys.leader_key(F.lit("A"), F.lit(None).cast("string")), keys.discovery_key(F.lit("a"), F.lit("b"), F.lit(None).cast("string"), F.lit("d"), F.lit("e"))).first()
     assert row[0] == hashlib.md5(b"A|").hexdigest() and row[1] == hashlib.md5(b"a:b::d:e").hexdigest()
+
+
+def test_unescape_html_is_the_librarys(spark):
+    import html
+
+    cases = ["a &amp; b", "&eacute;&ecirc;&ocirc;&#233;&#xE9;&#XE9", "&amp;lt;", "&notit; &notin; &NewLine;x", "&bogus; & &; &#; &#x;", "&#0;&#128;&#159;&#xD800;&#1114112;&#99999999999;", "&copy2026 &nbsp;&#8364;&#x1F600;", "&#11;&#xFFFF;&#xFDD0;&#13;", "no reference", "", "&NotEqualTilde;&acE;", "&lt;b&gt;" * 3, "tail &amp"]
+    assert column(spark, cases, text.unescape_html) == [html.unescape(c) for c in cases]
+
+
+def test_letters_of_any_base_lose_their_marks(spark):
+    import unicodedata
+
+    cases = ["ǿ ά Й", "Élise", "é", "ñ Ṩ ﬁ", "שָׁלוֹם", "한"]
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
+    got = column(spark, cases, text.deaccent)
+    assert got[:-1] == [plain(c) for c in cases[:-1]] and got[-1] == "한"
