@@ -74,9 +74,11 @@ def components(links: DataFrame, contract: bool = True, most_rounds: int = 60) -
         now, path = spark.read.schema("a long, b long, moved boolean").parquet(to), to
         if now.filter("moved").isEmpty():
             break
-        up = now.groupBy(F.col("a").alias("parent")).agg(F.min("b").alias("up"))
-        # as many rows as there are links, so they are not broadcast where they happen to be few
-        large = now.join(up.hint("merge"), now.b == up.parent, "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved"))
+        # dealt by another expression than they were grouped by, so both sides of the join are exchanges, of which a
+        # parent's many children can be split; as many rows as there are links, so they are not broadcast either
+        up = now.groupBy("a").agg(F.min("b").alias("up")).select(F.bitwise_not("a").alias("parent"), "up")
+        large = now.select("a", "b").withColumn("parent", F.bitwise_not("b")).join(up.hint("merge"), "parent", "left")
+        large = large.select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved"))
         small = large.withColumn("least", F.min("b").over(Window.partitionBy("a")))
         small = small.withColumn("moved", F.col("moved") | (F.col("b") != F.col("least")))
         both = F.explode(F.array(F.struct("a", F.col("least").alias("b"), "moved"), F.struct(F.col("b").alias("a"), F.col("least").alias("b"), "moved")))
