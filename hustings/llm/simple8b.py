@@ -48,12 +48,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, U), np.zeros(0, "<u4")
     best, step = _lengths(v)
-    jump, starts, i = step.tolist(), [], 0
-    add = starts.append
-    while i < n:
-        add(i)
-        i += jump[i]
-    at = np.array(starts)
+    # where words start: with the way of 2**k words from every place, as many starts as are known give the next ones
+    way = np.append(np.minimum(np.arange(n) + step, n), n)
+    at = np.zeros(1, np.int64)
+    while True:
+        more = way.take(at)
+        more = more[more < n]
+        at = np.concatenate((at, more))
+        if 2 * len(more) < len(at):
+            break
+        way = way.take(way)
     words = best[at].astype(U)
     escaped = np.zeros(n, bool)
     for s in np.unique(best[at]):
