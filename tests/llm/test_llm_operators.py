@@ -520,3 +520,61 @@ def test_most_common_shingles_are_chosen_without_a_sort(spark):
     part = got(400)
     assert part[5000] == 3 and part[90] == 10 and 300 < part[7] < 470 and 2 not in part
     assert got(1)[5000] <= 1 and jaccard_join._most_common(counted.limit(0), 10).count() == 0
+
+
+def toxic_logit_by_hand(m, rows):
+    """The classifier's answer for one document's rows of words, in plain Python."""
+    reach, z = max(toxicity.WIDTHS) - 1, []
+    embed = [[float(x) for t in range(toxicity.TABLES) for x in m.tables[t, r[t]]] for r in rows] + [[0.0] * toxicity.TABLES * toxicity.DIM] * (2 * reach)
+    for k, w in enumerate(m.filters):
+        for f in range(toxicity.FILTERS):
+            spots = [sum(x * float(w[j, i, f]) for j in range(len(w)) for i, x in enumerate(embed[p + j])) for p in range(len(rows) + reach)]
+            z.append(max(0.0, max(spots) + float(m.bias[k * toxicity.FILTERS + f])))
+    return sum(a * float(b) for a, b in zip(z, m.out, strict=True)) + m.base
+
+
+def test_toxicity_is_the_forward_pass_of_each_document_alone():
+    rng = np.random.default_rng(4)
+    m = toxicity.train([rng.integers(1, 500, (6, toxicity.TABLES)).astype(np.uint16) for _ in range(8)], np.array([0, 1] * 4), np.zeros(8, int), epochs=1)
+    m.bias[:] = rng.normal(-0.2, 0.3, len(m.bias))
+    m.out[:] = rng.normal(0, 1, len(m.out))
+    m.tables[:, 1:] *= 6
+    docs = [rng.integers(1, 500, (n, toxicity.TABLES)).astype(np.uint16) for n in (0, 1, 2, 3, 0, 0, 7, 1)]
+    want = [toxic_logit_by_hand(m, d) for d in docs]
+    rows, starts = toxicity.laid_out(np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs]), len(docs))
+    assert np.allclose(m.logits(rows, starts), want, atol=1e-4)
+    # whatever stands beside it
+    back = docs[::-1]
+    rows, starts = toxicity.laid_out(np.concatenate(back), np.repeat(np.arange(len(back)), [len(d) for d in back]), len(back))
+    assert np.allclose(m.logits(rows, starts), want[::-1], atol=1e-4)
+
+
+def quality_logit_by_hand(m, passages):
+    import math
+
+    w = {k: v.astype(float) for k, v in m.weights.items()}
+    hidden, raw = [], []
+    for x in passages:
+        z = [min(8.0, max(-8.0, (float(a) - float(b)) / float(c))) for a, b, c in zip(x, m.mean, m.scale, strict=True)]
+        h = [math.tanh(sum(z[i] * w["encode"][i, j] for i in range(len(z))) + w["encode0"][j]) for j in range(w["encode"].shape[1])]
+        raw.append(sum(math.tanh(sum(h[i] * w["see"][i, j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * w["gate"][i, j] for i in range(len(h))))) * w["attend"][j] for j in range(len(w["attend"]))))
+        hidden.append(h)
+    e = [math.exp(r - max(raw)) for r in raw]
+    whole = [sum(a / sum(e) * h[j] for a, h in zip(e, hidden, strict=True)) for j in range(len(hidden[0]))]
+    return sum(a * b for a, b in zip(whole, w["out"], strict=True)) + w["out0"][0]
+
+
+def test_quality_is_the_forward_pass_and_learns_by_its_gradient():
+    rng = np.random.default_rng(5)
+    bags = [rng.normal(0, 1, (n, quality.FEATURES)).astype(np.float32) for n in (1, 2, 5, 3, 1, 4) for _ in range(4)]
+    labels = np.array([int(b[:, 0].max() > 0.8) for b in bags])
+    m = quality.train(bags, labels, epochs=2)
+    sizes = [len(b) for b in bags]
+    starts, bag = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.repeat(np.arange(len(bags)), sizes)
+    assert np.allclose(m.forward(np.concatenate(bags), starts, bag)["logit"], [quality_logit_by_hand(m, b) for b in bags], atol=1e-3)
+
+    def loss(model):
+        p = [1 / (1 + np.exp(-quality_logit_by_hand(model, b))) for b in bags]
+        return -np.mean([np.log(q if y else 1 - q) for q, y in zip(p, labels, strict=True)])
+
+    assert loss(quality.train(bags, labels, epochs=40)) < 0.6 * loss(quality.train(bags, labels, epochs=0))
