@@ -731,6 +731,14 @@ def _(spark, d):
     return marts.embedding_pairs(t(spark, d, "embeddings"), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "embedding_pairs",
+    "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3",
+)
+def _(spark, d):
+    return marts.embedding_pairs(t(spark, d, "embeddings"), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query("bias_by_gender", "SELECT round(f, 6) AS F, round(m, 6) AS M, round(f - m, 6) AS gap FROM (SELECT avg(o_totalprice) FILTER (o_orderstatus = 'F') AS f, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS m FROM orders)")
 def _(spark, d):
     o = t(spark, d, "orders").withColumn("gender", F.when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderstatus") == "O", "M"))
