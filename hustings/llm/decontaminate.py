@@ -339,6 +339,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: float = OVERLA
 
     docs: doc_id, text and other columns, which are ignored. Null and empty texts are clean. Rows that share a
     doc_id share what was found in either; null doc_ids share too. An empty table or benchmark gives clean rows or none.
+    Texts of any length are searched whole.
     """
     by_doc = contaminated(docs, benchmark).groupBy(F.col("doc_id").alias("id")).agg(
         F.count_distinct(F.when(verified(overlap), F.col("item_id"))).alias("n_items"),

@@ -1,6 +1,6 @@
 """License scans: fuzzy search for short notices, exact seeds first.
 
-A notice that may hold up to k edits is split into k + 1 parts of whole words; by the pigeonhole principle
+A notice that may hold up to k edits is split into k + 1 parts of about the same length; by the pigeonhole principle
 one part stands unedited, so exact searches for the parts miss no occurrence. Where a seed stands, the
 ``regex`` library matches the notice with at most k edits in the words around it, and its span and number
 of edits are reported. The contract's phrases are notices with no edits: their seed is the phrase itself.
@@ -170,6 +170,7 @@ def license_scan(docs: DataFrame, base: tuple[Notice, ...] = BASE, fuzzy: tuple[
     docs: doc_id, text (null: empty, no words and score 0) and other columns, which are ignored. ``spans`` lists
     label:first word:word after the last:edits of every notice found. The score is the closeness of the best one:
     1 without edits, less by each edit's share of the phrase, 0 without a notice. Repeated rows and null doc_ids
-    are returned as they come; an empty table gives no rows. Texts never leave the task that reads them.
+    are returned as they come; an empty table gives no rows. Notices that overlap are each listed, copies of one notice
+    that overlap once, the closest first. Texts never leave the task that reads them, and one of any length is a step of its own.
     """
     return whole_texts(docs).mapInArrow(_scan(base, fuzzy), ROW)

@@ -141,7 +141,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
 
     docs: doc_id, text (null: empty, so the end id alone) and other columns, which are ignored. A document
     longer than ``capacity`` is cut from its end into pieces of that length; the first piece has the rest.
-    Repeated rows are packed as often as they come, a null doc_id is kept, an empty table gives no rows.
+    Repeated rows are packed as often as they come, a null doc_id is kept, an empty table gives no rows. Pieces of one
+    length are dealt to places in the order that tasks read them, so which of them lies where may differ from run to
+    run; how many sequences there are, and what lengths each has, doesn't.
     """
     pieces = materialise(whole_texts(docs).mapInArrow(_pieces(tokenizer, end_id, capacity), PIECE), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
