@@ -16,7 +16,7 @@ for windows that the level has too, and becomes a level; levels of about the sam
    sends the windows of shared anchors to buckets of the anchor's hash; those of an anchor that over ``HOT`` senders
    have go window by window to buckets of the window's hash, so that a very common passage, and whatever stands
    beside it, is spread over all buckets.
-3. A bucket feeds what it gets, sender by sender, to its family, and returns the windows that come earlier elsewhere.
+3. A bucket feeds what it gets, in batches of many senders, to its family, and returns the windows that come earlier elsewhere.
 4. Senders cut the spans out of their documents.
 """
 
@@ -43,6 +43,8 @@ SPREAD = WIDTH - GRAM + 1
 HOT = 4096
 #: Senders for each shuffle partition; a sender's documents and their arrays are held at once.
 SENDERS = 3
+#: Anchors of a batch that a family takes.
+BATCH = 30_000
 #: A repeated row of a doc_id is another document; its number is above the positions in a text.
 AGAIN = 36
 PAD = 128
@@ -303,12 +305,13 @@ def answer(table: pa.Table) -> pa.Table:
     """For each sender two bitmaps over its anchors of this range: shared with a sender, shared with over HOT."""
     owner, senders = table["owner"][0].as_py(), table["sender"].to_pylist()
     parts = [rice_decode(n, k, b) for n, k, b in zip(table["n"].to_pylist(), table["k"].to_pylist(), table["blob"].to_pylist(), strict=True)]
-    every, counts = np.unique(np.concatenate(parts), return_counts=True)
-    shared, hot = every[counts > 1], every[counts > HOT]
+    # all senders at once: there are more of them the larger the input is
+    _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    have, cuts = counts[inverse], np.cumsum([len(p) for p in parts])[:-1]
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    bits = lambda p, of: squeeze(np.packbits(np.isin(p, of, assume_unique=True)).tobytes())
+    shared, hot = ([squeeze(np.packbits(x).tobytes()) for x in np.split(have > least, cuts)] for least in (1, HOT))
     return pa.table(
-        [pa.array([owner] * len(senders), pa.int32()), pa.array(senders, pa.int32()), pa.array([len(p) for p in parts], pa.int64()), pa.array([bits(p, shared) for p in parts], pa.binary()), pa.array([bits(p, hot) for p in parts], pa.binary())],
+        [pa.array([owner] * len(senders), pa.int32()), pa.array(senders, pa.int32()), pa.array([len(p) for p in parts], pa.int64()), pa.array(shared, pa.binary()), pa.array(hot, pa.binary())],
         names=["owner", "sender", "n", "shared", "hot"],
     )
 
@@ -338,11 +341,12 @@ def send_windows(buckets: int):
             return empty
         short = h >> U(64 - EXCHANGED)
         seen, inverse, counts = np.unique(short, return_inverse=True, return_counts=True)
-        order = np.argsort(maps["owner"].to_numpy())
+        order, n = np.argsort(maps["owner"].to_numpy()), maps["n"].to_pylist()
         expand = zstandard.ZstdDecompressor().decompress
         flags = []
         for name in ("shared", "hot"):
-            bits = [np.unpackbits(np.frombuffer(expand(maps[name][int(i)].as_py()), np.uint8))[: maps["n"][int(i)].as_py()] for i in order]
+            blobs = maps[name].to_pylist()
+            bits = [np.unpackbits(np.frombuffer(expand(blobs[i]), np.uint8))[: n[i]] for i in order]
             flags.append(np.concatenate(bits).astype(bool)[inverse])
         shared, hot = flags
         use = np.flatnonzero(shared | (counts > 1)[inverse])
@@ -350,9 +354,8 @@ def send_windows(buckets: int):
         which = np.searchsorted(d.off, at[use], side="right") - 1
         family, rows, mark_doc, mark_at = IndexFamily(), [], [], []
         # batches of anchors in order of the documents
-        size = 30_000
-        for i in range(0, len(use), size):
-            u, w = use[i : i + size], which[i : i + size]
+        for i in range(0, len(use), BATCH):
+            u, w = use[i : i + BATCH], which[i : i + BATCH]
             place = (d.again[w] << AGAIN) + at[u] - d.off[w]
             family.add(entries(buffer, at[u] + PAD, at[u] - last[u], at[u] - first[u], d.doc[w], place, u))
         e = family.all()
@@ -403,33 +406,50 @@ def send_windows(buckets: int):
 
 def compare(table: pa.Table) -> pa.Table:
     """A bucket's family over all senders' windows; marks go back to each sender."""
-    done = table["done"].to_numpy()
-    senders, blobs = table["sender"].to_pylist(), table["blob"]
+    done, senders, blobs = table["done"].to_pylist(), table["sender"].to_pylist(), table["blob"].to_pylist()
     expand = zstandard.ZstdDecompressor().decompress
-    family, lows, highs, base = IndexFamily(), [], [], 0
-    who = []
-    for i in np.flatnonzero(~done):
-        raw = expand(blobs[int(i)].as_py())
+    family, rows, base = IndexFamily(), [], 0
+    held_back, size = [], 0
+
+    def feed() -> None:
+        """What several senders sent is one batch: each batch is scanned against all levels, whatever its size."""
+        nonlocal base, size
+        if not held_back:
+            return
+        doc, at, low, high, who = (np.concatenate(c) for c in zip(*(h[:5] for h in held_back), strict=True))
+        buffer, length = padded(np.concatenate([h[5] for h in held_back])), WIDTH + high - low
+        anchor = np.cumsum(length) - length + high + PAD
+        family.add(entries(buffer, anchor, low, high, doc, at, np.arange(base, base + len(doc))))
+        rows.append((low, high, who))
+        base, size = base + len(doc), 0
+        held_back.clear()
+
+    for sender, finished, blob in zip(senders, done, blobs, strict=True):
+        if finished:
+            continue
+        raw = expand(blob)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         doc, at = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n)
         low, high = (np.frombuffer(raw, "u1", n, 8 + (16 + k) * n).astype(np.int64) for k in (0, 1))
-        buffer = padded(np.frombuffer(raw, np.uint8, -1, 8 + 18 * n))
-        length = WIDTH + high - low
-        anchor = np.cumsum(length) - length + high + PAD
-        family.add(entries(buffer, anchor, low, high, doc.astype(np.int64), at.astype(np.int64), np.arange(base, base + n)))
-        lows.append(low)
-        highs.append(high)
-        who.append(np.full(n, senders[int(i)]))
-        base += n
-    out_sender, out_blob = [senders[int(i)] for i in np.flatnonzero(done)], [blobs[int(i)].as_py() for i in np.flatnonzero(done)]
+        held_back.append((doc, at, low, high, np.full(n, sender), np.frombuffer(raw, np.uint8, -1, 8 + 18 * n)))
+        size += n
+        if size >= BATCH:
+            feed()
+    feed()
+    out_sender, out_blob = [s for s, d in zip(senders, done, strict=True) if d], [b for b, d in zip(blobs, done, strict=True) if d]
+    if rows:
+        lows, highs, who = (np.concatenate(c) for c in zip(*rows, strict=True))
     for e in family.levels:
-        x, low, high, sender = np.arange(SPREAD)[None, :], np.concatenate(lows)[e.key], np.concatenate(highs)[e.key], np.concatenate(who)[e.key]
+        x, low, high = np.arange(SPREAD)[None, :], lows[e.key], highs[e.key]
         row, near, far = _runs_of((x >= low[:, None]) & (x <= high[:, None]) & ~e.live)
-        doc, first, last, to = e.doc[row], e.at[row] - far, e.at[row] - near, sender[row]
-        for s in np.unique(to):
-            mine = to == s
-            out_sender.append(int(s))
-            out_blob.append(_mark_blob(doc[mine], first[mine], last[mine]))
+        to = who[e.key[row]]
+        order = np.argsort(to, kind="stable")
+        row, near, far, to = row[order], near[order], far[order], to[order]
+        doc, first, last = e.doc[row], e.at[row] - far, e.at[row] - near
+        edges = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)])) if len(to) else [0]
+        for i, j in zip(edges, edges[1:], strict=False):
+            out_sender.append(int(to[i]))
+            out_blob.append(_mark_blob(doc[i:j], first[i:j], last[i:j]))
     return pa.table([pa.array(out_sender, pa.int32()), pa.array(out_blob, pa.binary())], names=["sender", "blob"])
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from hustings.llm import components, decontaminate, encode, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, simple8b, suffix_dedup, textops, token_files, toxicity
@@ -90,6 +91,29 @@ def test_index_family_is_logarithmic_and_exact():
     assert int(family.all().live.sum()) == expected
 
 
+def test_many_senders_are_compared_in_few_batches(monkeypatch):
+    """A bucket's senders grow with the input; a scan of all levels for each of them would grow with its square."""
+    added, add = [], suffix_dedup.IndexFamily.add
+    monkeypatch.setattr(suffix_dedup.IndexFamily, "add", lambda self, batch: (added.append(len(batch)), add(self, batch))[1])
+    monkeypatch.setattr(suffix_dedup, "BATCH", 100)
+    senders, passage = 250, np.frombuffer(bytes(range(100)), np.uint8)
+    blobs = [zstandard.compress(np.array([1, s, 7], "<i8").tobytes() + bytes(2) + passage.tobytes()) for s in range(senders)]
+    table = pa.table([pa.array([0] * senders, pa.int32()), pa.array(range(senders), pa.int32()), pa.array([False] * senders), pa.array(blobs, pa.binary())], names=["bucket", "sender", "done", "blob"])
+    out = suffix_dedup.compare(table)
+    marks = {s: np.frombuffer(zstandard.decompress(b), "<i8").tolist() for s, b in zip(out["sender"].to_pylist(), out["blob"].to_pylist(), strict=True)}
+    assert marks == {s: [s, 7, 7] for s in range(1, senders)} and added == [100, 100, 50]
+
+
+def test_answer_tells_each_sender_what_is_shared(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    have = {4: [1, 5, 9], 2: [5, 9, 70], 7: [9], 1: [8]}
+    rows = [(3, s, len(x), *exact_dedup.rice_encode(np.array(x, np.uint64))) for s, x in have.items()]
+    out = suffix_dedup.answer(pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["owner", "sender", "n", "k", "blob"]))
+    for i, (s, x) in enumerate(have.items()):
+        got = [np.unpackbits(np.frombuffer(zstandard.decompress(out[name][i].as_py()), np.uint8))[: len(x)].tolist() for name in ("shared", "hot")]
+        assert out["sender"][i].as_py() == s and got == [[int(v in (5, 9)) for v in x], [int(v == 9) for v in x]]
+
+
 # 2 -------------------------------------------------------------------------------------------------------------
 
 
