@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from hustings.llm import components, decontaminate, encode, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, simple8b, suffix_dedup, textops, token_files, toxicity
+from hustings.llm.labelled import training_rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -241,6 +243,39 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([first[k] == second[k] for k in first]) > 0.97
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """More rows than one task learns from: each has its part in a pass, and the averaged models tell labels as well."""
+    docs, labels, truth = labelled(spark, lambda text, rnd: text + " " + rnd.choice(["grobnak", "grobnakium", "vilestuff"]), "toxic", 4, 2)
+    more = [F.col("doc_id") + 10_000 * i for i in range(6)]
+    many = lambda df: df.filter("doc_id < 900").withColumn("doc_id", F.explode(F.array(*more)))
+    rows = toxicity.toxicity(docs, toxicity.fit(many(docs), many(labels), alone=2500)).collect()
+    assert len(rows) == 903 and accuracy(rows, truth, 4, 2) > 0.93
+    assert training_rows(labels, "toxic", 4, 2).count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in truth)
+
+
+def test_a_pass_of_trainers_is_their_average():
+    order = np.linspace(-(1 << 63), (1 << 63) - 1025, 50).astype(np.int64)
+    parts = [pa.RecordBatch.from_arrays([pa.array([f"{w} word{i} ok" for i in range(50)]), pa.array([i % 2 for i in range(50)], pa.int32()), pa.array(order)], ["text", "label", "order"]) for w in ("good", "bad")]
+    m = toxicity._begin(np.random.default_rng(7))
+    state = pickle.dumps((m, toxicity._squares(m)))
+    told = [b for p in parts for b in toxicity._one_pass(state, 0.5, 0)(iter([p]))]
+    assert [b["rows"][0].as_py() for b in told] == [int((order < toxicity.KEPT_BACK).sum())] * 2 and 39 <= told[0]["rows"][0].as_py() <= 41
+    mean = {b["chunk"][0].as_py(): b for b in toxicity._averages(iter(told))}
+    alone = [{b["chunk"][i].as_py(): (b["ids"][i].as_py(), b["change"][i].as_py()) for i in range(b.num_rows)} for b in told]
+    assert set(mean) == set(alone[0]) | set(alone[1])
+    dense = [np.frombuffer(a[-1][1], np.float64) for a in alone]
+    assert np.allclose(np.frombuffer(mean[-1]["change"][0].as_py(), np.float64), (dense[0] + dense[1]) / 2)
+    for chunk in set(mean) - {-1}:
+        want = defaultdict(list)
+        for a in alone:
+            if chunk in a:
+                for i, v in zip(np.frombuffer(a[chunk][0], "<u2"), np.frombuffer(a[chunk][1], "<f4").reshape(-1, toxicity.DIM + 1), strict=True):
+                    want[int(i)].append(v)
+        ids = np.frombuffer(mean[chunk]["ids"][0].as_py(), "<u2").tolist()
+        assert ids == sorted(want)
+        assert np.allclose(np.frombuffer(mean[chunk]["change"][0].as_py(), "<f4").reshape(-1, toxicity.DIM + 1), [np.mean(want[i], axis=0) for i in ids], atol=1e-6)
+
+
 def test_pooling_covers_the_whole_text():
     rng = np.random.default_rng(1)
     m = toxicity.train([np.ones((5, toxicity.TABLES), np.uint16)] * 4, np.array([0, 1, 0, 1]), np.zeros(4, int), epochs=1)
