@@ -84,6 +84,15 @@ def test_incumbents_without_rows_or_names(spark):
     assert got == {("1", "A B"): (True, 100.0), ("2", "A B"): (False, None), (None, "A B"): (None, None), ("1", ""): (None, None)}
 
 
+def test_a_blank_commune_has_no_score(spark):
+    leaders = spark.createDataFrame([("", "A B"), (" ", "A C"), ("1", "A B")], "commune_insee string, full_name string")
+    lookup = spark.createDataFrame([("", "B A"), (" ", "B A"), ("1", "B D")], "commune_insee string, incumbent_name string")
+    got = {r["commune_insee"]: (r["is_incumbent"], r["incumbent_match_score"], r["incumbent_match_auditable"]) for r in dims.match_incumbents(leaders, lookup).collect()}
+    assert got[""] == got[" "] == (None, None, False)
+    # the common subsequence of A B and B D is one character of six
+    assert got["1"] == (False, 200 / 6, True)
+
+
 def test_many_to_one_is_checked(spark):
     twice = spark.createDataFrame([("a",), ("a",)], "k string")
     with pytest.raises(Exception, match="not unique"):
