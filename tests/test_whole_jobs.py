@@ -1,5 +1,6 @@
 """Queries that once did less than the whole job, against brute force without blocks or subsets."""
 
+import duckdb
 import numpy as np
 
 from hustings.operators import dims, marts
@@ -56,6 +57,26 @@ def test_incumbent_match_takes_all_parts(spark, sf):
     assert sorted(map(tuple, catalogue.QUERIES["incumbent_match"](spark, sf).collect())) == sorted(want)
 
 
+def sql_rows(sf, table, sql):
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+        return sorted(con.sql(sql).fetchall())
+
+
+def test_incumbent_match_is_its_sql_without_sizes(spark, sf):
+    sql = catalogue.SQL["incumbent_match"]
+    lifted = sql.replace(" WHERE p_size > 45", "").replace(" WHERE p_size < 5", "")
+    assert sql.count("WHERE") == 3 and "WHERE" not in lifted
+    whole = sql_rows(sf, "part", lifted)
+    assert sorted(map(tuple, catalogue.QUERIES["incumbent_match"](spark, sf).collect())) == whole
+    # the operator on the parts of the SQL has the SQL's rows
+    n = catalogue.t(spark, sf, "part").selectExpr("p_brand AS commune_insee", "p_name AS full_name", "p_size").distinct()
+    known = n.filter("p_size > 45").selectExpr("commune_insee", "upper(full_name) AS incumbent_name").distinct()
+    got = dims.match_incumbents(n.filter("p_size < 5"), known).selectExpr("commune_insee", "full_name", "p_size", "is_incumbent", "round(incumbent_match_score, 6)", "incumbent_match_auditable")
+    cut = sql_rows(sf, "part", sql)
+    assert len(cut) < len(whole) and sorted(map(tuple, got.collect())) == cut
+
+
 def test_incumbents_of_other_names_against_brute_force(spark):
     names = ["SMALL RING", "RING SMAL", "COLD GIZMO", "HOT BOLT", "NEW BOLTS"]
     known = [("1", "SMALL RINGS"), ("1", "GIZMOS COLD"), ("2", "HOT BELT"), ("2", "BOLT NEW")]
