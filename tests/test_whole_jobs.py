@@ -15,12 +15,30 @@ def all_pairs(rows, least):
     return {(min(a, b), max(a, b)) for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True)}
 
 
+def sql_rows(sf, table, sql):
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+        return sorted(con.sql(sql).fetchall())
+
+
 def test_embedding_dups_has_every_pair(spark, sf):
     want = all_pairs(catalogue.t(spark, sf, "embeddings").collect(), 0.3)
     got = catalogue.QUERIES["embedding_dups"](spark, sf).collect()
     assert len(want) > 900 and sorted((r["a"], r["b"]) for r in got) == sorted(want)
 
 
+def test_embedding_dups_is_its_sql_without_block(spark, sf):
+    sql = catalogue.SQL["embedding_dups"]
+    lifted = sql.replace("a.block = b.block AND ", "")
+    assert lifted != sql
+    got = sorted(map(tuple, catalogue.QUERIES["embedding_dups"](spark, sf).collect()))
+    assert got == sql_rows(sf, "embeddings", lifted)
+    # of one block, the query has the SQL's rows
+    block = {r["vec_id"]: (r["label"], *(x > 0 for x in r["embedding"][:3])) for r in catalogue.t(spark, sf, "embeddings").collect()}
+    cut = sql_rows(sf, "embeddings", sql)
+    assert 0 < len(cut) < len(got) and [r for r in got if block[r[0]] == block[r[1]]] == cut
+
+
 def test_embedding_pairs_in_tiles(spark, sf, monkeypatch):
     monkeypatch.setattr(marts, "TILE", 90)
     monkeypatch.setattr(marts, "CELLS", 500)
@@ -57,12 +75,6 @@ def test_incumbent_match_takes_all_parts(spark, sf):
     assert sorted(map(tuple, catalogue.QUERIES["incumbent_match"](spark, sf).collect())) == sorted(want)
 
 
-def sql_rows(sf, table, sql):
-    with duckdb.connect() as con:
-        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
-        return sorted(con.sql(sql).fetchall())
-
-
 def test_incumbent_match_is_its_sql_without_sizes(spark, sf):
     sql = catalogue.SQL["incumbent_match"]
     lifted = sql.replace(" WHERE p_size > 45", "").replace(" WHERE p_size < 5", "")
