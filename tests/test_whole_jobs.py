@@ -39,6 +39,33 @@ def test_embedding_dups_is_its_sql_without_block(spark, sf):
     assert 0 < len(cut) < len(got) and [r for r in got if block[r[0]] == block[r[1]]] == cut
 
 
+def test_embedding_dups_at_the_threshold_is_its_sql(spark, tmp_path):
+    # one block; (1, 1, 3, 3) and (3, 3, 1, -1) have 6 / 20, and 6 / (sqrt(20) * sqrt(20)) in doubles is less than 0.3
+    near = [(1, 1, 3), (3, 3, 1), (6, 6, 2), (1, 2, 3), (3, 6, 2), (1, 2, 6), (3, 6, 1)]
+    rows = [(k, [float(x) for x in (*v, last)], 1) for k, (v, last) in enumerate((v, last) for v in near for last in range(-6, 7))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = sorted(con.sql(catalogue.SQL["embedding_dups"]).fetchall())
+    at = [(a, b) for a, b, s in want if s == 0.3]
+    assert len(at) == 8 and sorted(map(tuple, catalogue.QUERIES["embedding_dups"](spark, str(tmp_path)).collect())) == want
+
+
+def test_embedding_pairs_thresholds_are_sums_in_order(spark, sf):
+    df = catalogue.t(spark, sf, "embeddings").filter("vec_id < 100")
+    v = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in df.collect()}
+
+    # unlike sum, cumsum adds in order
+    def cosine(a, b):
+        dot, x, y = (np.cumsum(p)[-1] for p in (a * b, a * a, b * b))
+        return dot / np.sqrt(x * y)
+
+    pairs = sorted((cosine(v[a], v[b]), a, b) for a in v for b in v if a < b)
+    for k in range(-40, 0, 5):
+        got = marts.embedding_pairs(df, float(pairs[k][0])).collect()
+        assert sorted((r["a"], r["b"]) for r in got) == sorted((a, b) for _, a, b in pairs[k:])
+
+
 def test_embedding_pairs_in_tiles(spark, sf, monkeypatch):
     monkeypatch.setattr(marts, "TILE", 90)
     monkeypatch.setattr(marts, "CELLS", 500)
