@@ -2,7 +2,9 @@
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
+from hustings.functions import similarity
 from hustings.operators import dims, marts
 from hustings.plans import catalogue
 
@@ -125,3 +127,25 @@ def test_incumbents_of_other_names_against_brute_force(spark):
         score = max(ratio(r["full_name"], n) for c, n in known if c == r["commune_insee"])
         assert abs(r["incumbent_match_score"] - score) < 1e-9 and r["is_incumbent"] is (score >= 85) and r["incumbent_match_auditable"] is (score < 100)
     assert len(got) == 10 and {r["is_incumbent"] for r in got} == {True, False}
+
+
+def test_equal_names_need_no_comparison(spark, tmp_path, monkeypatch):
+    # 9,000,000 pairs of one brand; each name has itself, or its words in another order, among the incumbents
+    spark.range(3000).selectExpr("'B' AS p_brand", "concat_ws(' ', 'Ring', cast(id AS string)) AS p_name", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(similarity, "lcs_length", lambda a, b: F.raise_error(F.lit("compared")).cast("int"))
+    got = catalogue.QUERIES["incumbent_match"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(("B", f"Ring {i}", 1, True, 100.0, False) for i in range(3000))
+    leaders = spark.createDataFrame([("1", "A B"), ("2", "C  d")], "commune_insee string, full_name string")
+    known = spark.createDataFrame([("1", "B A"), ("1", "B A C"), ("2", "D C"), ("2", None)], "commune_insee string, incumbent_name string")
+    assert [r["incumbent_match_score"] for r in dims.match_incumbents(leaders, known).collect()] == [100.0, 100.0]
+
+
+def test_equal_and_other_names_of_a_commune(spark):
+    names = ["SMALL RING", "RING SMALL", "SMALL RINGS", "COLD GIZMO"]
+    known = [("1", "RING  SMALL"), ("1", "GIZMOS COLD"), ("1", ""), ("1", None), ("2", "COLD GIZMO"), (None, "SMALL RING"), ("3", None)]
+    leaders = spark.createDataFrame([(c, n) for c in "123" for n in names], "commune_insee string, full_name string")
+    got = dims.match_incumbents(leaders, spark.createDataFrame(known, "commune_insee string, incumbent_name string")).collect()
+    for r in got:
+        score = max((ratio(r["full_name"], n) for c, n in known if c == r["commune_insee"] and n is not None), default=None)
+        assert r["incumbent_match_score"] == score and r["is_incumbent"] is ((score or 0) >= 85) and r["incumbent_match_auditable"] is (score is not None and score < 100)
+    assert len(got) == 12
