@@ -96,14 +96,21 @@ def word_bounds(data: np.ndarray, off: np.ndarray, members: np.ndarray) -> tuple
     return start, end, doc
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, the same for A-Z and a-z, from one prefix sum over the bytes."""
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums over the bytes, from which ``word_hashes`` has the hash of any run of them."""
+    p, _ = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(BYTE_WORD[data] * p[: len(data)], out=sums[1:])
+    return sums
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of words, the same for A-Z and a-z; ``sums`` are the ``byte_sums`` of data, if the caller has them."""
     if not len(start):
         return np.zeros(0, U)
-    p, inv = powers(len(data) + 1)
-    pref = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_WORD[data] * p[: len(data)], out=pref[1:])
-    return mix((pref[end] - pref[start]) * inv[start])
+    _, inv = powers(len(data) + 1)
+    sums = byte_sums(data) if sums is None else sums
+    return mix((sums[end] - sums[start]) * inv[start])
 
 
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, k: int, n_docs: int) -> tuple[np.ndarray, np.ndarray]:

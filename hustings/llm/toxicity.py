@@ -4,7 +4,8 @@ A word is several hashed embeddings side by side: two of the word, so that two w
 hashes meet, and one for each of its first few bytes, which its inflected and compound forms share. Filters of
 several widths run over a document's words, the largest answer of each filter over the whole text is pooled,
 and a logistic layer weighs them. Because of the pooling a gradient reaches only the few words that won, so
-training is sparse. All labelled rows are learned from: those of a larger table by trainers side by side, whose models
+training is sparse. A word's embeddings and its part in each filter are the same wherever it stands, so they are
+computed once for the distinct words of a block or batch, and positions only add them up. All labelled rows are learned from: those of a larger table by trainers side by side, whose models
 are averaged after each pass. The decision threshold is calibrated by language, told from the text's own function words,
 and scores are shifted so that the threshold is ``CUT`` in each.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from hustings.llm.encode import forget
 from hustings.llm.labelled import held_out, training_rows
 from hustings.llm.store import materialise, release, whole_texts
-from hustings.llm.textops import ALNUM, U, steps, word_bounds, word_hashes
+from hustings.llm.textops import ALNUM, U, byte_sums, steps, word_bounds, word_hashes
 
 BITS, DIM, FILTERS, WIDTHS = 16, 4, 8, (1, 2, 3)
 #: Bytes of a word's beginnings that have embeddings.
@@ -59,33 +60,63 @@ def _function_words() -> tuple[np.ndarray, np.ndarray]:
     return _known[0]
 
 
-def languages(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """The language with most function words of each document; their number for none."""
+def languages(h: np.ndarray, of: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """The language with most function words of each document; their number for none. h: of distinct words, ``of`` them."""
     keys, bits = _function_words()
     i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    got = np.where(keys[i] == h, bits[i], 0)
+    got = np.where(keys[i] == h, bits[i], 0)[of]
+    counted = np.flatnonzero(got)
+    got, doc = got[counted], doc[counted]
     counts = np.stack([np.bincount(doc, weights=(got >> b) & 1, minlength=n) for b in range(len(FUNCTION_WORDS))], axis=1)
     return np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), len(FUNCTION_WORDS))
 
 
-def word_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+def word_rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """A row of each table for each word; row 0 is padding."""
     out = np.empty((len(h), TABLES), np.uint16)
     out[:, 0] = (h >> U(64 - BITS)) % U(ROWS - 1) + U(1)
     out[:, 1] = (h & U(ROWS - 1)) % U(ROWS - 1) + U(1)
     for i, k in enumerate(BEGINNINGS):
-        p = word_hashes(data, start, np.minimum(end, start + k))
+        p = word_hashes(data, start, np.minimum(end, start + k), sums)
         out[:, 2 + i] = (p >> U(20)) % U(ROWS - 1) + U(1)
     return out
 
 
-def laid_out(rows: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, starts): words of documents one after another, each followed by padding as wide as a filter reaches."""
+def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes and rows of the distinct words, number among them and document of each word), words told apart by their hashes."""
+    start, end, doc = word_bounds(data, off, ALNUM)
+    sums = byte_sums(data)
+    h, of = _numbers(word_hashes(data, start, end, sums))
+    at = np.empty(len(h), np.int64)
+    at[of] = np.arange(len(of))
+    return h, word_rows(data, start[at], end[at], h, sums), of, doc
+
+
+def _numbers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, number of each hash among them)."""
+    coded = pa.array(h, pa.uint64()).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def _firsts(words: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, number of each word among them); slots has a place for each word and may hold anything."""
+    place = np.arange(len(words))
+    slots[words] = place
+    stands = slots[words]
+    own = np.flatnonzero(stands == place)
+    number = np.empty(len(words), np.int64)
+    number[own] = np.arange(len(own))
+    return words[own], number[stands]
+
+
+def laid_out(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, starts): words of documents (numbers or rows) one after another, each document followed by padding (0) as
+    wide as a filter reaches."""
     pad = max(WIDTHS) - 1
     counts = np.bincount(doc, minlength=n)
     starts = np.concatenate(([0], np.cumsum(counts + pad)))
-    out = np.zeros((int(starts[-1]), TABLES), np.uint16)
-    out[np.arange(len(rows)) + doc * pad] = rows
+    out = np.zeros((int(starts[-1]), *words.shape[1:]), words.dtype)
+    out[np.arange(len(words)) + doc * pad] = words
     return out, starts[:-1]
 
 
@@ -99,38 +130,56 @@ class Model:
     shift: np.ndarray  # by language, the last for none
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([t[rows[:, i]] for i, t in enumerate(self.tables)], axis=1)
+        flat = rows + np.arange(0, TABLES * ROWS, ROWS)
+        return self.tables.reshape(-1, DIM).take(flat.ravel(), axis=0).reshape(len(rows), TABLES * DIM)
+
+    def parts(self, e: np.ndarray) -> np.ndarray:
+        """What a word adds to the filters at each of their places: the first (with the bias) of all filters, then the
+        second of those that have one, and so on; WIDTHS ascend, so these are the last ones."""
+        out = e @ np.concatenate([w[j] for j in range(max(WIDTHS)) for w in self.filters if len(w) > j], axis=1)
+        out[:, : len(self.bias)] += self.bias
+        return out
+
+    def added(self, parts: np.ndarray) -> np.ndarray:
+        """Filters' answers at each position, from the parts of the words from there on, which are overwritten."""
+        n, all_ = len(parts), FILTERS * len(WIDTHS)
+        out, at = parts[:, :all_], all_
+        for j in range(1, max(WIDTHS)):
+            many = FILTERS * sum(w > j for w in WIDTHS)
+            out[: max(0, n - j), all_ - many :] += parts[j:, at : at + many]
+            at += many
+        return out
 
     def answers(self, e: np.ndarray) -> np.ndarray:
         """Filters' answers at each position, over the words from there on."""
-        n, parts = len(e), []
-        for w in self.filters:
-            a = np.zeros((n, FILTERS), np.float32)
-            for j in range(len(w)):
-                a[: n - j] += e[j:] @ w[j]
-            parts.append(a)
-        return np.concatenate(parts, axis=1) + self.bias
+        return self.added(self.parts(e))
+
+    def answers_of(self, rows: np.ndarray, words: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(answers at each position, distinct words, number of each position's among them); words number rows.
+
+        A filter that starts in the padding would reach the words of the next document, so it has the bias alone."""
+        own, number = _firsts(words, slots)
+        mine = rows[own]
+        answers = self.added(self.parts(self.embed(mine)).take(number, axis=0))
+        answers[(mine[:, 0] == 0)[number]] = self.bias
+        return answers, own, number
 
-    def pooled(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The largest answers of each document, in blocks of bounded size."""
+    def pooled(self, rows: np.ndarray, starts: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        """The largest answers of each document, in blocks of bounded size; words number rows, or are these."""
+        words = np.arange(len(rows)) if words is None else words
         out = np.full((len(starts), FILTERS * len(WIDTHS)), -np.inf, np.float32)
-        ends = np.append(starts[1:], len(rows))
-        size, reach = 1 << 17, max(WIDTHS) - 1
-        for a in range(0, len(rows), size):
-            b = min(len(rows), a + size)
-            answers = self.answers(self.embed(rows[a : min(len(rows), b + reach)]))[: b - a]
-            # a filter that starts in the padding would reach the words of the next document
-            answers[rows[a:b, 0] == 0] = self.bias
+        ends, slots = np.append(starts[1:], len(words)), np.empty(len(rows), np.int64)
+        size, reach = 1 << 16, max(WIDTHS) - 1
+        for a in range(0, len(words), size):
+            b = min(len(words), a + size)
+            answers = self.answers_of(rows, words[a : min(len(words), b + reach)], slots)[0][: b - a]
             i, j = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b)
             best = np.maximum.reduceat(answers, np.maximum(starts[i:j] - a, 0), axis=0)
             out[i:j] = np.maximum(out[i:j], best)
         return np.maximum(out, 0)
 
-    def logits(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return self.pooled(rows, starts) @ self.out + self.base
-
-
-_PADDING = np.zeros((max(WIDTHS) - 1, TABLES), np.uint16)
+    def logits(self, rows: np.ndarray, starts: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        return self.pooled(rows, starts, words) @ self.out + self.base
 
 
 def _begin(rng: np.random.Generator) -> Model:
@@ -152,66 +201,98 @@ def _squares(m: Model) -> dict:
     return {"tables": np.full((TABLES, ROWS), 1e-2, np.float32), "filters": [np.full_like(w, 1e-2) for w in m.filters], "bias": np.full_like(m.bias, 1e-2), "out": np.full_like(m.out, 1e-2)}
 
 
-def _pass(m: Model, second: dict, docs: list[np.ndarray], labels: np.ndarray, share: float, order: np.ndarray) -> None:
-    """One pass over padded docs in the given order; changes the model and its sums of squares."""
+@dataclass
+class Texts:
+    rows: np.ndarray  # of the distinct words; the first is padding
+    docs: list[np.ndarray]  # each document's words, as numbers of rows, and padding
+
+    def logits(self, m: Model, which: np.ndarray | range) -> np.ndarray:
+        """The documents' logits, many at a time."""
+        out = [np.zeros(0, np.float32)]
+        for at in range(0, len(which), 256):
+            docs = [self.docs[i] for i in which[at : at + 256]]
+            starts = np.cumsum([0, *map(len, docs)])[:-1]
+            out.append(m.logits(self.rows, starts, np.concatenate(docs)))
+        return np.concatenate(out)
+
+
+def _texts(h: np.ndarray, rows: np.ndarray, docs: list[np.ndarray]) -> Texts:
+    """docs: words as numbers of h and rows, where words may come again."""
+    h, again = _numbers(h)
+    first = np.zeros((len(h) + 1, TABLES), np.uint16)
+    first[again + 1] = rows
+    padding = np.zeros(max(WIDTHS) - 1, np.int32)
+    return Texts(first, [np.concatenate((again[d] + 1, padding), dtype=np.int32) for d in docs])
+
+
+def _pass(m: Model, second: dict, texts: Texts, labels: np.ndarray, share: float, order: np.ndarray) -> None:
+    """One pass over the texts in the given order; changes the model and its sums of squares."""
     rate, weight = 0.08, np.where(labels == 1, min(5.0, (1 - share) / share), 1.0)
+    tables, squares = m.tables.reshape(-1, DIM), second["tables"].reshape(-1)
+    slots, every = np.empty(len(texts.rows), np.int64), np.arange(FILTERS * len(WIDTHS))
     for at in range(0, len(order), 16):
         batch = order[at : at + 16]
-        g_out, g_bias, g_base = np.zeros_like(m.out), np.zeros_like(m.bias), 0.0
+        docs = [texts.docs[i] for i in batch]
+        ends = np.cumsum([len(d) for d in docs])
+        answers, own, number = m.answers_of(texts.rows, np.concatenate(docs), slots)
+        rows = texts.rows[own]
+        e = m.embed(rows)
+        where = np.stack([answers[b - len(d) : b].argmax(axis=0) + b - len(d) for d, b in zip(docs, ends, strict=True)])
+        top = answers[where, every]
+        z = np.maximum(top, 0)
+        d = (1 / (1 + np.exp(-(z @ m.out + m.base))) - labels[batch]) * weight[batch] / len(batch)
+        g_top = np.where(top > 0, d[:, None] * m.out, 0).astype(np.float32)
         g_filters = [np.zeros_like(w) for w in m.filters]
         touched, grads = [], []
-        for i in batch:
-            rows = docs[i]
-            e = m.embed(rows)
-            answers = m.answers(e)
-            where = answers.argmax(axis=0)
-            top = answers[where, np.arange(len(where))]
-            z = np.maximum(top, 0)
-            d = float((1 / (1 + np.exp(-(z @ m.out + m.base))) - labels[i]) * weight[i]) / len(batch)
-            g_out += d * z
-            g_base += d
-            g_top = np.where(top > 0, d * m.out, 0).astype(np.float32)
-            g_bias += g_top
-            for k, w in enumerate(m.filters):
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                for j in range(len(w)):
-                    pos = np.minimum(where[cols] + j, len(rows) - 1)
-                    inside = (where[cols] + j < len(rows)) & (g_top[cols] != 0)
-                    g = g_top[cols] * inside
-                    g_filters[k][j] += e[pos].T * g
-                    touched.append(rows[pos[inside]])
-                    grads.append((w[j] * g).T[inside])
-        rows, g = np.concatenate(touched), np.concatenate(grads)
-        for t in range(TABLES):
-            ids, inverse = np.unique(rows[:, t], return_inverse=True)
-            total = np.zeros((len(ids), DIM), np.float32)
-            np.add.at(total, inverse, g[:, t * DIM : (t + 1) * DIM])
-            total[ids == 0] = 0
-            second["tables"][t, ids] += (total**2).mean(axis=1)
-            m.tables[t, ids] -= rate * total / np.sqrt(second["tables"][t, ids])[:, None]
+        for k, w in enumerate(m.filters):
+            cols = slice(k * FILTERS, (k + 1) * FILTERS)
+            for j in range(len(w)):
+                inside = (where[:, cols] + j < ends[:, None]) & (g_top[:, cols] != 0)
+                g = (g_top[:, cols] * inside)[:, :, None]
+                words = number[np.minimum(where[:, cols] + j, ends[:, None] - 1)]
+                g_filters[k][j] = (e[words] * g).sum(axis=0).T
+                touched.append(words[inside])
+                grads.append((w[j].T * g)[inside])
+        words = np.concatenate(touched)
+        if len(words):
+            ids, g = (rows[words] + np.arange(0, TABLES * ROWS, ROWS)).ravel(), np.concatenate(grads).reshape(-1, DIM)
+            g[ids % ROWS == 0] = 0
+            by_id = ids.argsort(kind="stable")
+            ids = ids[by_id]
+            firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            total, ids = np.add.reduceat(g[by_id], firsts, axis=0), ids[firsts]
+            squares[ids] += (total**2).mean(axis=1)
+            tables[ids] -= rate * total / np.sqrt(squares[ids])[:, None]
         for k in range(len(WIDTHS)):
             second["filters"][k] += g_filters[k] ** 2
             m.filters[k] -= rate * g_filters[k] / np.sqrt(second["filters"][k])
-        for name, grad in (("bias", g_bias), ("out", g_out)):
+        for name, grad in (("bias", g_top.sum(axis=0)), ("out", d @ z)):
             second[name] += grad**2
             setattr(m, name, (getattr(m, name) - rate * grad / np.sqrt(second[name])).astype(np.float32))
-        m.base -= 0.02 * g_base
+        m.base -= 0.02 * float(d.sum())
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, lang: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """docs: rows of words (n, TABLES) of each document. A fifth, the last, is kept for calibration."""
+    """docs: rows of words (n, TABLES) of each document."""
+    rows = np.concatenate([np.zeros((0, TABLES), np.uint16), *docs])
+    edges = np.cumsum([0, *map(len, docs)])
+    # each word counts as one of its own
+    return _train(_texts(np.arange(len(rows), dtype=U), rows, [np.arange(a, b) for a, b in zip(edges, edges[1:], strict=False)]), labels, lang, seed, epochs)
+
+
+def _train(texts: Texts, labels: np.ndarray, lang: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
+    """A fifth, the last, is kept for calibration."""
     rng = np.random.default_rng(seed)
     m = _begin(rng)
-    docs = [np.concatenate((d, _PADDING)) for d in docs]
-    n = len(docs)
+    n = len(texts.docs)
     fit = n - n // 5 if n >= 50 else n
     share = _share(float(labels[:fit].mean()) if fit else 0.5)
     m.base = float(np.log(share / (1 - share)))
     second = _squares(m)
     for _ in range(epochs):
-        _pass(m, second, docs, labels, share, rng.permutation(fit))
+        _pass(m, second, texts, labels, share, rng.permutation(fit))
     kept = np.arange(fit, n) if fit < n else np.arange(n)
-    _calibrate(m, np.array([float(m.logits(docs[i], np.array([0]))[0]) for i in kept]), labels[kept], lang[kept])
+    _calibrate(m, texts.logits(m, kept).astype(np.float64), labels[kept], lang[kept])
     return m
 
 
@@ -239,26 +320,27 @@ def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
 _ROWS = pa.schema([("text", pa.string()), ("label", pa.int32()), ("order", pa.int64())])
 
 
-def _read(batches: list[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of words of each document, labels, languages, order), in that order."""
+def _read(batches: list[pa.RecordBatch]) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, labels, languages, order), in that order."""
     whole = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=_ROWS) for b in batches], _ROWS)
     whole = whole.sort_by([("order", "ascending"), ("text", "ascending")]).combine_chunks()
-    rows, lang = [], [np.zeros(0, np.int64)]
+    hashes, rows, docs, lang, known = [np.zeros(0, U)], [np.zeros((0, TABLES), np.uint16)], [], [np.zeros(0, np.int64)], 0
     for part, data, off in steps(whole.to_batches(), most=1 << 20):
-        start, end, doc = word_bounds(data, off, ALNUM)
-        h = word_hashes(data, start, end)
+        h, r, of, doc = distinct_words(data, off)
         cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        found = word_rows(data, start, end, h)
-        rows += [found[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        lang.append(languages(h, doc, part.num_rows))
-    return rows, whole["label"].to_numpy(), np.concatenate(lang), whole["order"].to_numpy()
+        docs += [of[a:b] + known for a, b in zip(cut, cut[1:], strict=False)]
+        lang.append(languages(h, of, doc, part.num_rows))
+        hashes.append(h)
+        rows.append(r)
+        known += len(h)
+    return _texts(np.concatenate(hashes), np.concatenate(rows), docs), whole["label"].to_numpy(), np.concatenate(lang), whole["order"].to_numpy()
 
 
 def _train_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model, pickled, from the one task that has all rows."""
     forget()
-    rows, labels, lang, _ = _read(list(batches))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(rows, labels, lang))], pa.binary())], ["model"])
+    texts, labels, lang, _ = _read(list(batches))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_train(texts, labels, lang))], pa.binary())], ["model"])
 
 
 # --- trainers side by side ---------------------------------------------------
@@ -269,23 +351,19 @@ KEPT_BACK = (1 << 63) - (1 << 64) // 5
 CHUNK = 1 << 14
 
 
-def _in_runs(batches: Iterator[pa.RecordBatch], kept: bool) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """(padded docs, labels, languages) of about ``TRAINER_ROWS`` rows each, either of those kept back or of the others."""
+def _in_runs(batches: Iterator[pa.RecordBatch], kept: bool) -> Iterator[tuple[Texts, np.ndarray, np.ndarray]]:
+    """(texts, labels, languages) of about ``TRAINER_ROWS`` rows each, either of those kept back or of the others."""
     held: list[pa.RecordBatch] = []
 
-    def out():
-        docs, labels, lang, _ = _read(held)
-        return [np.concatenate((d, _PADDING)) for d in docs], labels, lang
-
     for b in batches:
         mine = b.filter(pa.array((b.column(2).to_numpy() >= KEPT_BACK) == kept))
         if mine.num_rows:
             held.append(mine)
         if sum(x.num_rows for x in held) >= TRAINER_ROWS:
-            yield out()
+            yield _read(held)[:3]
             held = []
     if held:
-        yield out()
+        yield _read(held)[:3]
 
 
 def _dense(m: Model, second: dict) -> np.ndarray:
@@ -314,9 +392,9 @@ def _one_pass(state: bytes, share: float, epoch: int):
         forget()
         m, second = pickle.loads(state)
         tables, squares, n = m.tables.copy(), second["tables"].copy(), 0
-        for docs, labels, _ in _in_runs(batches, False):
-            _pass(m, second, docs, labels, share, np.random.default_rng([epoch, n]).permutation(len(docs)))
-            n += len(docs)
+        for texts, labels, _ in _in_runs(batches, False):
+            _pass(m, second, texts, labels, share, np.random.default_rng([epoch, n]).permutation(len(labels)))
+            n += len(labels)
         if not n:
             return
         out = [(-1, b"", _dense(m, second).tobytes(), n)]
@@ -356,9 +434,8 @@ def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept_logits(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for docs, labels, lang in _in_runs(batches, True):
-            starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])))[:-1]
-            parts = [model.logits(np.concatenate(docs), starts).astype("<f4"), labels.astype("i1"), lang.astype("i1")]
+        for texts, labels, lang in _in_runs(batches, True):
+            parts = [texts.logits(model, range(len(labels))).astype("<f4"), labels.astype("i1"), lang.astype("i1")]
             yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], ["logits", "labels", "lang"])
 
     return run
@@ -415,10 +492,10 @@ def _score(model: Model):
         forget()
         for part, data, off in steps(batches):
             n = part.num_rows
-            start, end, doc = word_bounds(data, off, ALNUM)
-            h = word_hashes(data, start, end)
-            rows, starts = laid_out(word_rows(data, start, end, h), doc, n)
-            score = 1 / (1 + np.exp(-(model.logits(rows, starts) + model.shift[languages(h, doc, n)])))
+            h, rows, of, doc = distinct_words(data, off)
+            words, starts = laid_out(of + 1, doc, n)
+            logits = model.logits(np.concatenate((np.zeros((1, TABLES), np.uint16), rows)), starts, words)
+            score = 1 / (1 + np.exp(-(logits + model.shift[languages(h, of, doc, n)])))
             yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(score.astype(np.float64))], ["doc_id", "held_out", "score"])
 
     return run

@@ -608,6 +608,22 @@ def test_toxicity_is_the_forward_pass_of_each_document_alone():
     assert np.allclose(m.logits(rows, starts), want[::-1], atol=1e-4)
 
 
+def test_toxicity_embeds_a_word_once_however_often_it_stands(monkeypatch):
+    rng = np.random.default_rng(5)
+    m = toxicity.train([rng.integers(1, 500, (6, toxicity.TABLES)).astype(np.uint16) for _ in range(8)], np.array([0, 1] * 4), np.zeros(8, int), epochs=1)
+    texts, seen, embed = [" ".join(rng.choice(["alpha", "Alpha", "beta", "gamma", "deltas"], 400)) for _ in range(50)] + ["", "--"], [], toxicity.Model.embed
+    monkeypatch.setattr(toxicity.Model, "embed", lambda self, rows: seen.append(len(rows)) or embed(self, rows))
+    score = lambda ts: np.concatenate([b["score"].to_numpy() for b in toxicity._score(m)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(ts))), pa.array(ts), pa.array([False] * len(ts))], ["doc_id", "text", "held_out"])]))])
+    got = score(texts)
+    # four words, as case doesn't count, and padding; 20,000 words and more stand there
+    assert sum(seen) == 5 and np.allclose(got, np.concatenate([score([t]) for t in texts]), atol=1e-6)
+    # so does training, whose gradient sums are of 16 documents
+    seen.clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(52)], pa.int32()), pa.array(range(52))], ["text", "label", "order"])
+    told = list(toxicity._one_pass(pickle.dumps((m, toxicity._squares(m))), 0.5, 0)(iter([batch])))
+    assert told[0]["rows"][0].as_py() == 52 and max(seen) <= 5
+
+
 def quality_logit_by_hand(m, passages):
     import math
 
