@@ -31,6 +31,8 @@ LATIN = re.compile(r"[^\W\d_\u0130\u0250-\U0010FFFF]+")
 #: How byte-level vocabularies write the bytes of characters above ASCII: those without a visible character get the next from U+0100.
 _hidden = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(_hidden)}
+#: So written, each character below U+0250; none is missing, as a look-up that fails is slow.
+CHARS = {c: "".join(chr(BYTE_CHARS.get(b, b)) for b in chr(c).encode()) for c in range(0x250)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -76,15 +78,15 @@ class Encoder:
 
     def _word(self, word: str, lead: str) -> bytes | None:
         """Ids of a run of letters by the library's model alone, which is what remains of the work for one; None
-        for other letters than those that lower-casing and composition leave as they are."""
+        for other letters than those that lower-casing and composition leave as they are.
+
+        Where case makes no difference, words that differ in it share what is learned of one."""
+        if not word.isascii() and not LATIN.fullmatch(word):
+            return None
+        if self.kind == "worded" and not word.islower() and (low := word.lower()) != word:
+            return self.later[low]
         if not word.isascii():
-            if not LATIN.fullmatch(word):
-                return None
-            if self.kind == "worded":
-                word = word.lower()
-            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
-        elif self.kind == "worded":
-            word = word.lower()
+            word = word.translate(CHARS)
         return array("I", [t.id for t in self.tokenize("\u0120" + word if lead else word)]).tobytes()
 
     def _learn(self, piece: str, lead: str) -> bytes:
@@ -97,8 +99,9 @@ class Encoder:
             # see encode: it stands for itself, with no space before it
             return self.line + self.first[piece[1:]]
         elif marked := MARKED.fullmatch(piece):
+            # not all that MARKED takes for letters are: a superscript digit is a number to the library
             word, marks = marked.groups()
-            if word.isascii() or LATIN.fullmatch(word):
+            if word.isascii() or word.isalpha() and LATIN.fullmatch(word):
                 ids = (self.later if lead or self.kind == "worded" else self.first).get(word) or self._word(word, lead)
                 return ids + (self.later if self.kind == "worded" else self.first)[marks]
         return self._ids(lead + piece)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hustings.llm.encode import encoder
+from hustings.llm.encode import KEPT, encoder
 from hustings.llm.store import materialise, whole_texts
 from hustings.llm.textops import steps
 
@@ -82,9 +82,9 @@ def minimum_slack(counts: dict[int, int], capacity: int) -> list[Pattern]:
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
 
 
-def _pieces(path: str, end_id: int, capacity: int):
+def _pieces(path: str, end_id: int, capacity: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, kept), np.array([end_id], "<u4").tobytes()
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for part, _, _ in steps(batches):
             rows, at, pieces, starts, lengths, crcs, ranks = 0, [], [], [], [], [], []
@@ -136,16 +136,17 @@ def _place(plan: list[Pattern]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, kept: int = KEPT) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     docs: doc_id, text (null: empty, so the end id alone) and other columns, which are ignored. A document
     longer than ``capacity`` is cut from its end into pieces of that length; the first piece has the rest.
     Repeated rows are packed as often as they come, a null doc_id is kept, an empty table gives no rows. Pieces of one
     length are dealt to places in the order that tasks read them, so which of them lies where may differ from run to
-    run; how many sequences there are, and what lengths each has, doesn't.
+    run; how many sequences there are, and what lengths each has, doesn't. A worker keeps the ids of ``kept`` pieces of text,
+    which changes no result; more of them cost memory, and fewer are encoded again.
     """
-    pieces = materialise(whole_texts(docs).mapInArrow(_pieces(tokenizer, end_id, capacity), PIECE), "pieces")
+    pieces = materialise(whole_texts(docs).mapInArrow(_pieces(tokenizer, end_id, capacity, kept), PIECE), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     by_task = materialise(by_task, "lengths")
     counts = {int(n): int(c) for n, c in by_task.groupBy("length").agg(F.sum("n")).collect()}

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from hustings.llm import components, decontaminate, encode, exact_dedup, jaccard_join, license_scan, packing, quality, secret_scan, simple8b, suffix_dedup, textops, token_files, toxicity
+from hustings.llm import components, decontaminate, encode, exact_dedup, jaccard_join, license_scan, packing, quality, queries, secret_scan, simple8b, suffix_dedup, textops, token_files, toxicity
 from hustings.llm.labelled import training_rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -169,6 +169,29 @@ def test_encoder_is_the_library(path, texts):
     assert got == [x.tobytes() for x in reference_ids(path, many)]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_of_digits_like_letters_and_of_case(path, monkeypatch):
+    many = ["10 m\u00b2, x\u00bd! a\u00b9.", "m\u00b2,", "\u023ab \u023e, \u212a", "\u00aab, \u00ba.", "Stra\u00dfe STRASSE, \u00c9T\u00c9"]
+    assert encode.Encoder(path).encode(many) == [x.tobytes() for x in reference_ids(path, many)]
+    enc = encode.Encoder(path)
+    asked, tokenize = [], enc.tokenize
+    enc.tokenize = lambda w: asked.append(w) or tokenize(w)
+    cased = ["a Shell shell SHELL, \u00c9t\u00e9 \u00e9t\u00e9 \u00c9T\u00c9"]
+    assert enc.encode(cased) == [x.tobytes() for x in reference_ids(path, cased)]
+    # a vocabulary without capitals is asked once for words that differ in case
+    assert len(asked) == (3 if enc.kind == "worded" else 7)
+
+
+def test_packing_encodes_a_kept_piece_once(docs, spark, monkeypatch):
+    # the query keeps as many pieces as the token files do, and how many are kept changes no rows
+    got = {}
+    pack = packing.pack_documents
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **k: got.update(k) or pack(docs, *a[1:], **k))
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    of = lambda df: sorted(df.select("doc_id", "piece", "start", "length", "ids_crc32").collect(), key=str)
+    assert of(queries.op10_packing(spark, "")) == of(pack(docs, BYTE, kept=3)) and got["kept"] == token_files.KEPT > encode.KEPT
+
+
 def test_simple8b_round_trips():
     rng = np.random.default_rng(0)
     for k in (0, 1, 5, 59, 1000, 70_000):
