@@ -53,6 +53,18 @@ def test_embedding_dups_at_the_threshold_is_its_sql(spark, tmp_path):
     assert len(at) == 8 and sorted(map(tuple, catalogue.QUERIES["embedding_dups"](spark, str(tmp_path)).collect())) == want
 
 
+def test_embedding_dups_rounds_as_its_sql(spark, tmp_path):
+    # one block; with the first vector 323 / 640 and such have a 5 as seventh and last digit, and the SQL's round takes them down
+    vectors = [(1, 0, 0, 0, 0, 0, 0), (323, 0, 0, 551, 38, 15, 1), (333, 0, 0, 545, 41, 2, 1), (1613, 0, 0, 2762, 81, 55, 1), (1615, 0, 0, 2762, 51, 23, 1)]
+    rows = [(k, [float(x) for x in v], 1) for k, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = sorted(con.sql(catalogue.SQL["embedding_dups"]).fetchall())
+    assert len(want) == 10 and want[:4] == [(0, 1, 0.504687), (0, 2, 0.520312), (0, 3, 0.504062), (0, 4, 0.504687)]
+    assert sorted(map(tuple, catalogue.QUERIES["embedding_dups"](spark, str(tmp_path)).collect())) == want
+
+
 def test_embedding_pairs_thresholds_are_sums_in_order(spark, sf):
     df = catalogue.t(spark, sf, "embeddings").filter("vec_id < 100")
     v = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in df.collect()}
