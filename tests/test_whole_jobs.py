@@ -65,6 +65,21 @@ def test_embedding_dups_rounds_as_its_sql(spark, tmp_path):
     assert sorted(map(tuple, catalogue.QUERIES["embedding_dups"](spark, str(tmp_path)).collect())) == want
 
 
+def test_embedding_dups_sums_ties_of_long_vectors_as_its_sql(spark, tmp_path):
+    # each of 50 blocks repeats the same five vectors at 110 scales: cosines stay, and 770 terms have another sum in blocks than in order
+    vectors = [(1, 0, 0, 0, 0, 0, 0), (323, 0, 0, 551, 38, 15, 1), (333, 0, 0, 545, 41, 2, 1), (1613, 0, 0, 2762, 81, 55, 1), (1615, 0, 0, 2762, 51, 23, 1)]
+    rng = np.random.default_rng(5)
+    scales = np.ldexp(rng.integers(1, 1 << 12, (50, 110)).astype(float), rng.integers(-8, 9, (50, 110)))
+    rows = [(5 * k + n, np.outer(s, v).ravel().tolist(), k) for k, s in enumerate(scales) for n, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = sorted(con.sql(catalogue.SQL["embedding_dups"]).fetchall())
+    got = sorted(map(tuple, catalogue.QUERIES["embedding_dups"](spark, str(tmp_path)).collect()))
+    assert len(want) == 500 and {s for a, b, s in want if b == a + 1 and a % 5 == 0} == {0.504687, 0.504688}
+    assert [r for r in got if r[0] // 5 == r[1] // 5] == want
+
+
 def test_embedding_pairs_thresholds_are_sums_in_order(spark, sf):
     df = catalogue.t(spark, sf, "embeddings").filter("vec_id < 100")
     v = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in df.collect()}
